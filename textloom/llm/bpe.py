@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,29 +37,48 @@ def units(text: str) -> list[str]:
     return [text] if _OTHER_SPACE.search(text) else _UNIT.findall(text)
 
 
-class UnitEncoder:
-    """encode_many(list of str) -> list of id sequences, behind a memory of units."""
+def _cut(text: str) -> tuple[str, list[str]]:
+    """The same cuts for most texts at less cost: the text is the first part and
+    then, each after a blank, the others.  Where blanks and line feeds do not
+    stand alone between words, the units follow the first part without blanks."""
+    if _OTHER_SPACE.search(text) or "\1" in text:
+        return text, []
+    if text[:1] in ("", " ") or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+        return "", ["\1" + u for u in _UNIT.findall(text)]
+    first, *rest = text.split(" ")
+    return first, rest
+
 
-    def __init__(self, encode_many, dtype, most: int = 400_000):
-        self.encode_many, self.dtype, self.most, self.memory = encode_many, np.dtype(dtype), most, {}
+class UnitEncoder:
+    """encode_many(list of str) -> list of id sequences, behind a memory of units
+    in two generations: a full one becomes the old one, and the one before goes."""
+
+    def __init__(self, encode_many, dtype, most: int = 350_000):
+        self.encode_many, self.dtype, self.most = encode_many, np.dtype(dtype), most
+        self.memory, self.old = {}, {}
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+
+    def _learn(self, keys: set[str], extra: dict) -> None:
+        new = keys - self.memory.keys()
+        if not new:
+            return
+        if len(self.memory) > self.most:
+            self.old, self.memory = self.memory, {}
+            new = keys
+        for k in new & self.old.keys():
+            self.memory[k] = self.old[k]
+        new = list(new - self.memory.keys())
+        many = [k[1:] if k[:1] == "\1" else " " + k for k in new]
+        for k, ids in zip(new, self.encode_many(many), strict=True):
+            (self.memory if len(k) <= _LONG else extra)[k] = array(self.code, ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian integers of the dtype."""
-        cut = [units(t) for t in texts]
-        memory = self.memory
-        new = list({u for c in cut for u in c if u not in memory})
-        extra = {}
-        if new:
-            if len(memory) + len(new) > self.most:
-                memory.clear()
-                new = list({u for c in cut for u in c})
-            for u, ids in zip(new, self.encode_many(new), strict=True):
-                (memory if len(u) <= _LONG else extra)[u] = np.asarray(ids, self.dtype).tobytes()
-        if extra:
-            find = lambda u: extra[u] if len(u) > _LONG else memory[u]
-        else:
-            find = memory.__getitem__
-        return [b"".join(map(find, c)) for c in cut]
+        cut = [_cut(t) for t in texts]
+        extra: dict = {}
+        self._learn({"\1" + first for first, _ in cut}.union(*(rest for _, rest in cut)), extra)
+        find = (lambda k: extra[k] if k in extra else self.memory[k]) if extra else self.memory.__getitem__
+        return [find("\1" + first) + b"".join(map(find, rest)) for first, rest in cut]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
