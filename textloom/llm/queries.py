@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, token_files
+from . import bpe, decontaminate, language, quality_model, quality_rules, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -21,6 +21,23 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op1_token_files(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op2(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op3(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +52,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
+    "op4_decontaminate": op4_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
 }
 
