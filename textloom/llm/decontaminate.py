@@ -172,12 +172,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found, all columns as they are."""
     prepare(docs.sparkSession)
-    for matcher in item_blocks(benchmark):
 
+    def clean(matcher):
         @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], matcher=matcher) -> Iterator[pd.Series]:
+        def found_nothing(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in texts:
                 yield pd.Series([not matcher.find(t) if t else True for t in s], dtype=bool)
 
-        docs = docs.where(clean(docs["text"]))
+        return found_nothing
+
+    for matcher in item_blocks(benchmark):
+        docs = docs.where(clean(matcher)(docs["text"]))
     return docs
