@@ -10,13 +10,27 @@ weighted sets.  25 bands of 5 places make a pair of similarity 0.8 meet with
 probability 0.99995.
 
 Texts with equal word sequences are one node, so copies are never paired.  In each
-bucket every node is paired with the bucket's least node only, the pairs are
-verified exactly (J_P from the whole shingle sets, at least 0.8), and linked nodes
-get their component.  Buckets whose nodes are then in several components are taken
-up again: every pair of nodes from different components in one bucket that was not
-verified yet is verified.  So each two nodes that meet in a bucket end in one
-component or were compared (a pair inside a component needs no comparison): no link
-between classes is lost, and a group of n near copies costs n comparisons, not n^2.
+bucket every node is compared with the bucket's pivot, the node whose buckets are
+the largest (in a group of near copies, the one they were made from); pairs are
+judged by J_P of their whole shingle sets.  Linked nodes get their component, and
+buckets that then lie in one component are done: a pair inside a component needs no
+comparison.  In the others, pairs of different components are found in two ways,
+which together lose none that reaches 0.8:
+
+* pairs whose common shingles all lie in the bucket's core, which is the pivot's
+  shingles and those that more than `_HOT` of the pivot's nodes have: their common
+  mass is bounded by each one's mass on the core, so a node for which no size in its
+  bucket fits the bound is left out before anything is paired.  1 - J_P is a metric
+  (J_P is a collision probability), so two nodes whose similarities to the pivot
+  differ by more than 0.2 are no pair either;
+* pairs with a common shingle off the core: joined on those shingles, each of which
+  at most `_HOT` nodes have, by prefixes.  The bound says how many such shingles two
+  nodes of given sizes need; with shingles in one order (rarest first), each node
+  enters with all but the last so many of them.
+
+So each two nodes that meet in a bucket end in one component, or were compared, or
+are proven unlike: no link between classes is lost, and a group of n near copies
+costs n comparisons, not n^2.
 
 Defined results: texts of 1 to 4 words have one shingle, all their words; a text
 without words is a class of its own; rows with equal id and words are one
@@ -37,6 +51,7 @@ from .common import WordHash, materialize, mix, prepare, rolling, slices, starts
 from .components import components
 
 WORDS, PLACES, BANDS, ROWS, LEAST = 5, 125, 25, 5, 0.8
+_EPS, _HOT = 1e-9, 64
 
 
 def node_of(text: bytes) -> bytes:
@@ -176,10 +191,15 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node binary, g array<long>, c array<int>").dropDuplicates(["node"])
 
 
-def _verify(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The pairs(u, v) with a similarity of at least 0.8."""
+def _similarities(pairs: DataFrame, table: DataFrame, rest: bool = False) -> DataFrame:
+    """u, v, sim of the pairs(u, v); with `rest` also on_u, all_v, extra_v (v's
+    counts: those of shingles that u has, all, and those above one), rest_v, the
+    shingles of v that u lacks, n_u, the number of u's shingles, and miss_v, how many of
+    them v lacks in each of 32 hash classes."""
     import pyarrow as pa
 
+    names = ["u", "v", "sim", "on_u", "all_v", "extra_v", "rest_v", "n_u", "miss_v"]
+
     def run(batches):
         for rb in batches:
             lists = []
@@ -188,13 +208,113 @@ def _verify(pairs: DataFrame, table: DataFrame) -> DataFrame:
                 flat, of = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
                 flat = flat.view(np.uint64) if k % 2 == 0 else flat  # sorted as unsigned
                 lists.append([flat[i:j] for i, j in zip(of[:-1], of[1:], strict=True)])
-            good = [i for i, x in enumerate(zip(*lists, strict=True)) if probability_jaccard(*x) >= LEAST - 1e-12]
-            at = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([rb.column(0).take(at), rb.column(1).take(at)], names=["u", "v"])
+            sims = [probability_jaccard(*x) for x in zip(*lists, strict=True)]
+            cols = [rb.column(0), rb.column(1), pa.array(sims, pa.float64())]
+            if rest:
+                lacks = [~np.isin(gv, gu, assume_unique=True) for gu, _, gv, _ in zip(*lists, strict=True)]
+                total = [int(c.sum()) for c in lists[3]]
+                of = pa.array(np.concatenate([[0], np.cumsum([x.sum() for x in lacks])]).astype(np.int32))
+                left = [g[x] for g, x in zip(lists[2], lacks, strict=True)]
+                cols += [pa.array([n - int(c[x].sum()) for n, c, x in zip(total, lists[3], lacks, strict=True)], pa.int64()), pa.array(total, pa.int64())]
+                cols += [pa.array([n - len(c) for n, c in zip(total, lists[3], strict=True)], pa.int64())]
+                cols += [pa.ListArray.from_arrays(of, pa.array((np.concatenate(left) if left else np.zeros(0, np.uint64)).view(np.int64)))]
+                missed = [np.bincount((gu[~np.isin(gu, gv, assume_unique=True)] & np.uint64(31)).astype(np.int64), minlength=32) for gu, _, gv, _ in zip(*lists, strict=True)]
+                of = pa.array(np.arange(len(missed) + 1, dtype=np.int32) * 32)
+                cols += [pa.array([len(g) for g in lists[0]], pa.int64()), pa.ListArray.from_arrays(of, pa.array((np.concatenate(missed) if missed else np.zeros(0)).astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(cols, names=names[: len(cols)])
 
     left = table.select(F.col("node").alias("u"), F.col("g").alias("gu"), F.col("c").alias("cu"))
     right = table.select(F.col("node").alias("v"), F.col("g").alias("gv"), F.col("c").alias("cv"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "gu", "cu", "gv", "cv").mapInArrow(run, "u binary, v binary")
+    schema = "u binary, v binary, sim double" + ", on_u long, all_v long, extra_v long, rest_v array<long>, n_u long, miss_v array<int>" * rest
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "gu", "cu", "gv", "cv").mapInArrow(run, schema)
+
+
+def _similar(compared: DataFrame) -> DataFrame:
+    return compared.where(F.col("sim") >= LEAST - _EPS).select("u", "v")
+
+
+def _mixed(placed: DataFrame, by: str) -> DataFrame:
+    """The groups with nodes of several components."""
+    return placed.groupBy(by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select(by)
+
+
+#: J_P <= 1 / (1/p + 1/q - 1) for the parts p, q of two masses that are common.
+_SLACK = 1 + 1 / LEAST + _EPS
+
+
+def _size_bin():
+    return F.floor(F.log("total") / float(np.log(1.05))).cast("int")
+
+
+def _live(off: DataFrame) -> DataFrame:
+    """The rows of off(pivot, node, component, on, total, extra) that may have a
+    partner of another component, under one pivot, whose common shingles the core has.
+
+    Let x be the common counts of a node and y those of its partner: x <= on, and
+    y <= x + extra(partner), since two counts of a shingle differ by at most what they
+    have above one.  So the part of the partner's mass, y / total(partner), that the
+    bound asks for must be within (on + extra(partner)) / total(partner).  Sizes of
+    partners are taken together in bins, of which there are few."""
+    part = F.col("on") / F.col("total")
+    bins = off.groupBy("pivot", _size_bin().alias("bin")).agg(F.min("total").alias("b_total"), F.max("extra").alias("b_extra"), F.min("component").alias("lo"), F.max("component").alias("hi")).drop("bin")
+    asked = off.where(part >= LEAST - _EPS).withColumn("asked", 1 / (_SLACK - 1 / part))
+    met = asked.join(bins, "pivot").where("lo != component or hi != component").where(F.col("asked") * F.col("b_total") - F.col("b_extra") <= F.col("on") + _EPS * F.col("total"))
+    return off.join(met.select("pivot", "node").distinct(), ["pivot", "node"], "left_semi")
+
+
+def _off_core(open_: DataFrame, compared: DataFrame) -> DataFrame:
+    """pivot, node, component, sim, on, total, extra, hot, n_pivot, miss, rest of the
+    nodes in open buckets: `hot` counts its shingles in the core but not in the pivot, `on` is at least the counts of shingles in the core, `rest` array<struct<n,
+    h>> has the others that nodes of another component share, rarest first."""
+    own = open_.select("pivot", "node", "component").distinct()
+    facts = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "sim", F.col("on_u").alias("on"), F.col("all_v").alias("total"), F.col("extra_v").alias("extra"), F.col("n_u").alias("n_pivot"), F.col("miss_v").alias("miss"))
+    own = materialize(own.join(facts, ["pivot", "node"]))
+    lacking = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "rest_v").join(own.select("pivot", "node", "component"), ["pivot", "node"])
+    cells = materialize(lacking.select("pivot", "node", "component", F.explode("rest_v").alias("g")).select("pivot", "node", "component", F.xxhash64("pivot", "g").alias("h")))
+    several = cells.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("h", "n")
+    met = cells.join(several, "h").groupBy("pivot", "node").agg(F.count_if(F.col("n") > _HOT).alias("hot"), F.array_sort(F.collect_list(F.when(F.col("n") <= _HOT, F.struct("n", "h")))).alias("rest"))
+    on = F.when(F.col("hot") > 0, F.least(F.col("on") + F.col("hot") + F.col("extra"), F.col("total"))).otherwise(F.col("on"))
+    return own.join(met, ["pivot", "node"], "left").withColumn("hot", F.coalesce("hot", F.lit(0))).withColumn("on", on)
+
+
+def _pairs_on_core(off: DataFrame) -> DataFrame:
+    """u, v of different components whose common shingles may all be in the core."""
+    live = materialize(_live(off.drop("rest")))
+    live = live.join(_mixed(live, "pivot"), "pivot", "left_semi")
+    side = lambda n, s: live.select("pivot", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "sim", "on", "total", "extra", "hot", "n_pivot", "miss")])
+    p = F.least("on_a", F.col("on_b") + F.col("extra_a")) / F.col("total_a")
+    q = F.least("on_b", F.col("on_a") + F.col("extra_b")) / F.col("total_b")
+    near = F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - LEAST + _EPS
+    # What either lacks of the pivot is in no common part.
+    lost = F.aggregate(F.zip_with("miss_a", "miss_b", lambda x, y: F.greatest(x, y)), F.lit(0), lambda a, x: a + x)
+    common = F.col("n_pivot_a") - lost + F.least("hot_a", "hot_b") + F.col("extra_a") + F.col("extra_b")
+    enough = common + 1e-6 >= (F.col("total_a") + F.col("total_b")) / (1 + 1 / LEAST)
+    return side("u", "a").join(side("v", "b"), "pivot").where(F.expr("u < v and component_a != component_b") & near & (1 / p + 1 / q <= _SLACK) & enough).select("u", "v")
+
+
+def _pairs_off_core(off: DataFrame) -> DataFrame:
+    """u, v of different components with a common shingle off the core of a pivot
+    of both, unless they have too few of them.
+
+    A pair at L has common counts x >= (total(u) + total(v)) / (1 + 1/L) - extra(v) in
+    u (from 1/p + 1/q <= 1 + 1/L and y <= x + extra(v)), so at least x - extra(u)
+    common shingles, of which the core has at most on(u)."""
+    off = off.withColumn("bin", _size_bin())
+    bins = off.groupBy("pivot", F.col("bin").alias("other")).agg(F.min("total").alias("low"), F.max("total").alias("high"), F.max("extra").alias("more"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    asked = off.where("size(rest) > 0").join(bins, "pivot").where("lo != component or hi != component")
+    need = F.greatest(F.lit(1), F.ceil((F.col("total") + F.col("low")) / (1 + 1 / LEAST) - F.col("extra") - F.col("more") - F.col("on") - 1e-6).cast("int"))
+    fits = (F.col("high") + F.col("extra") + 1e-6 >= LEAST * F.col("total")) & (F.col("total") + F.col("more") + 1e-6 >= LEAST * F.col("low"))
+    asked = asked.where(fits).withColumn("need", need).where(F.col("need") <= F.size("rest"))
+    facts = ["node", "component", "sim", "on", "total", "extra"]
+    rows = asked.select(*facts, F.size("rest").alias("m"), F.least("bin", "other").alias("a"), F.greatest("bin", "other").alias("b"), F.posexplode(F.slice("rest", F.lit(1), F.size("rest") - F.col("need") + 1)).alias("i", "x"))
+    # Of a pair's common shingles, the first leaves `left` for all of them.
+    rows = materialize(rows.select(*facts, (F.col("m") - F.col("i")).alias("left"), F.xxhash64("x.h", "a", "b").alias("h")))
+    met = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
+    rows = rows.join(met, "h", "left_semi")
+    side = lambda n, s: rows.select("h", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in (*facts[1:], "left")])
+    enough = F.least("on_a", "on_b") + F.least("left_a", "left_b") + F.col("extra_a") + F.col("extra_b") + 1e-6 >= (F.col("total_a") + F.col("total_b")) / (1 + 1 / LEAST)
+    near = F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - LEAST + _EPS
+    return side("u", "a").join(side("v", "b"), "h").where(F.expr("u < v and component_a != component_b") & enough & near).select("u", "v")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -206,24 +326,26 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     nodes = signed.where("n_words > 0")
     # One row per node and band.  Copies carry the same bands: the aggregation joins them before the shuffle.
     members = materialize(nodes.select("node", F.explode("bands").alias("key")).groupBy("key", "node").agg(F.lit(1).alias("one")).select("key", "node"))
-    heads = members.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(members.join(heads, "key").select("key", "node", "head"))
-    star = materialize(shared.where("node != head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(members.join(sizes, "key"))
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    pivots = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    shared = materialize(met.join(pivots, "key").select("key", "node", "pivot"))
+    star = materialize(shared.where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct())
     wanted = star.select(F.col("u").alias("node")).unionAll(star.select(F.col("v").alias("node"))).distinct()
     ids = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     table = materialize(_shingle_table(docs, ids.join(wanted, "node")))
-    links = materialize(_verify(star, table))
-    comp = components(links)
-
-    placed = shared.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_ = materialize(placed.join(mixed, "key", "left_semi"))
-    a = open_.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
-    b = open_.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
-    rest = a.join(b, "key").where("u < v and cu != cv").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
-    more = materialize(_verify(rest, table))
-    links = links.unionAll(more)
+    compared = materialize(_similarities(star, table, rest=True))
+    comp = materialize(components(_similar(compared)))
+
+    placed = materialize(shared.join(comp, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component")))
+    open_ = placed.join(_mixed(placed, "key"), "key", "left_semi")
+    # A pivot was compared with all of its bucket: it takes no further part there.
+    open_ = open_.where("node != pivot").select("pivot", "node", "component").distinct()
+    off = materialize(_off_core(open_, compared))
+    rest = _pairs_on_core(off).unionAll(_pairs_off_core(off)).distinct()
+    more = materialize(_similarities(rest, table))
+    links = _similar(compared).unionAll(_similar(more)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     comp = components(links)
 
     degree = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
