@@ -46,12 +46,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage
-    ends there, and a lost executor costs only the running stage."""
+    ends there, and a lost executor costs only the running stage.  Shuffle files of
+    the write go with its end, not only when the driver next collects its garbage."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
