@@ -64,7 +64,15 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again."""
+    for df in stored:
+        _remove(df.sparkSession, df.stored_at)
 
 
 def text_bytes(docs: DataFrame, column: str = "text"):

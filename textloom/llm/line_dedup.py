@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 _MASK = (1 << 40) - 1
@@ -92,19 +92,17 @@ def kept_places(docs: DataFrame, least: int = 20) -> DataFrame:
     source = docs.select("doc_id", F.xxhash64(text).alias("rk"), text.alias("_text"))
     lines = source.select("doc_id", "rk", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(_HAS_WORD))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk", "pos")
-    keyed = lines.select(order.alias("o"), F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), F.when(F.length("line") >= least, _half_keys(F.col("line"))).alias("halves"))
-    one = materialize(keyed.groupBy("id", "id2", "halves").agg(F.min("o").alias("o")))
+    keyed = lines.select(order.alias("o"), F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), F.when(F.length("line") >= least, F.col("line")).alias("line"))
+    # Equal lines meet before the shuffle; long ones carry their text from here on.
+    one = materialize(keyed.groupBy("id", "id2").agg(F.min("o").alias("o"), F.any_value("line").alias("line")))
 
-    halves = one.where("halves is not null").select("id", F.explode("halves").alias("half"))
+    halves = one.where("line is not null").select("id", F.explode(_half_keys(F.col("line"))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("half")
     part = halves.join(shared, "half", "left_semi").select("id").distinct()
-    part = materialize(one.join(part, "id", "left_semi").select("id", "o"))
-    where = part.groupBy(F.col("o.doc_id").alias("_id"), F.col("o.rk").alias("_rk")).agg(F.collect_list(F.struct(F.col("o.pos").alias("pos"), "id")).alias("wanted"))
-    fetched = source.join(where, source["doc_id"].eqNullSafe(where["_id"]) & (source["rk"] == where["_rk"]))
-    fetched = fetched.dropDuplicates(["doc_id", "rk"]).select(F.split("_text", "\n", -1).alias("all"), F.explode("wanted").alias("x")).select("x.id", F.get("all", F.col("x.pos")).alias("line"))
-    cand = materialize(part.join(fetched, "id"))
+    cand = materialize(one.join(part, "id", "left_semi").select("id", "o", "line"))
+    part = cand.select("id", "o")
 
-    variants = materialize(_variants(cand))
+    variants = materialize(_variants(cand.select("id", "line")))
     hot = variants.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("k")
     met = materialize(variants.join(hot, "k", "left_semi").join(part, "id").select("k", "pos", "id", F.struct("o", "id").alias("who")))
     deleted = met.where("pos >= 0").groupBy("k", "pos").agg(F.min("who").alias("first"))
@@ -116,8 +114,10 @@ def kept_places(docs: DataFrame, least: int = 20) -> DataFrame:
     claims = changed.unionAll(longer).unionAll(shorter).where("id != by").distinct()
     text_of = cand.select(F.col("id").alias("by"), F.col("line").alias("by_line"))
     near = claims.join(cand.select("id", "line"), "id").join(text_of, "by").where(F.levenshtein("line", "by_line", 1) >= 0).select("id").distinct()
+    near = materialize(near)
+    discard(variants, met, cand)
 
-    stay = one.join(near, "id", "left_anti")
+    stay = one.select("id", "o").join(near, "id", "left_anti")
     return stay.groupBy(F.col("o.doc_id").alias("doc_id"), F.col("o.rk").alias("rk")).agg(F.sort_array(F.collect_list("o.pos")).alias("places"))
 
 
