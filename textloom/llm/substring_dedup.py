@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, hashed_words, materialize, merge_blocks, mix, odd_multipliers, prepare, slices, text_bytes
+from .common import WordHash, discard, hashed_words, materialize, merge_blocks, mix, odd_multipliers, prepare, slices, text_bytes
 
 WINDOW, GRAM = 50, 10
 SPAN = WINDOW - GRAM + 1  # runs of ten words in a window
@@ -122,6 +122,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
     out = np.zeros(2 * CELLS, np.uint8)
     for r in merge_blocks(parts, merge).toLocalIterator():  # BLOCKS rows
         out[r.block * size : (r.block + 1) * size] = np.frombuffer(zlib.decompress(r.data), np.uint8)
+    discard(parts)
     return out
 
 
@@ -161,20 +162,23 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     each document that also start in one with a smaller id."""
     prepare(docs.sparkSession)
     occ = materialize(_occurrences(docs, sketch(docs)))
-    ctx = occ.groupBy("ctx").agg(F.first("anchor").alias("anchor"), F.first("wins").alias("wins"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    ctx = materialize(ctx)
+    ctx = materialize(occ.groupBy("ctx").agg(F.first("anchor").alias("anchor"), F.first("wins").alias("wins"), F.min("doc_id").cast("long").alias("least"), F.max("doc_id").cast("long").alias("most")).withColumn("tail", F.expr("substring(ctx, 1, 8)")))
+    places = materialize(occ.select("ctx", "doc_id", "rk", "first", "n"))
+    discard(occ)
     several = ctx.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    single = ctx.join(several, "anchor", "left_anti").where("most > least").select("ctx", F.lit(None).cast("array<struct<i:int,least:bigint>>").alias("each"), F.col("least").cast("long").alias("least"))
-    wins = materialize(ctx.join(several, "anchor", "left_semi").select("ctx", "anchor", "least", F.posexplode("wins").alias("i", "win")))
-    first = wins.groupBy("anchor", "win").agg(F.min("least").alias("w_least"), F.count("*").alias("k"))
-    # A window of one context alone has that context's least document.
-    met = wins.join(first.where("k > 1"), ["anchor", "win"], "left").select("ctx", "i", F.coalesce("w_least", "least").cast("long").alias("least"))
-    partial = met.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("each")).withColumn("least", F.lit(None).cast("long"))
-    known = single.unionByName(partial.select("ctx", "each", "least"))
-    hit = occ.select("ctx", "doc_id", "rk", "first", "n").join(known, "ctx")
-    whole = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.col("first").alias("first"), F.col("n").alias("n"))))
+    # An anchor and half of a context's hash name it in the rows of single windows.
+    shared = materialize(ctx.join(several, "anchor", "left_semi").select("anchor", "tail", "least", "wins"))
+    each = shared.select("anchor", "tail", "least", F.posexplode("wins").alias("i", "win"))
+    first = each.groupBy("anchor", "win").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("anchor", "win", "first")
+    # The windows that an earlier document has in another context.
+    early = each.join(first, ["anchor", "win"]).where("first < least").groupBy("anchor", "tail").agg(F.array_sort(F.collect_list(F.struct("i", F.col("first").alias("least")))).alias("each"))
+    known = ctx.select("ctx", "anchor", "tail", "least", "most").join(early, ["anchor", "tail"], "left").where("most > least or each is not null")
+    known = materialize(known.select("ctx", "least", "each"))
+    discard(shared, ctx)
+    hit = places.join(known, "ctx")
+    whole = F.array(F.struct(F.col("first").alias("first"), F.col("n").alias("n")))
     ones = F.transform(F.filter("each", lambda x: x["least"] < F.col("doc_id")), lambda x: F.struct((F.col("first") + x["i"]).alias("first"), F.lit(1).alias("n")))
-    runs = hit.select("doc_id", "rk", F.when(F.col("each").isNull(), whole).otherwise(ones).alias("r")).where("size(r) > 0")
+    runs = hit.select("doc_id", "rk", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(ones).alias("r")).where("size(r) > 0")
     return runs.groupBy("doc_id", "rk").agg(F.flatten(F.collect_set("r")).alias("runs"))
 
 
