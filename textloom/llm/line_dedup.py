@@ -133,7 +133,8 @@ def dedup_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     flags = F.split(F.array_join(F.transform("places", gap), ""), "")
     rows = rows.withColumn("_flags", flags)
     worded = F.size(F.filter("_all", lambda x: x.rlike(_HAS_WORD)))
-    kept = F.filter("_all", lambda x, i: ~x.rlike(_HAS_WORD) | F.coalesce(F.get("_flags", i) == "1", F.lit(False)))
+    # Zipped, since a lambda would work its outer columns out again for each line.
+    kept = F.transform(F.filter(F.arrays_zip("_all", F.coalesce("_flags", F.array().cast("array<string>")).alias("_flags")), lambda x: x["_all"].isNotNull() & (~x["_all"].rlike(_HAS_WORD) | F.coalesce(x["_flags"] == "1", F.lit(False)))), lambda x: x["_all"])
     n_kept = F.coalesce(F.size("places"), F.lit(0))
     n_kept = F.when(F.col("places").isNull(), F.lit(0)).otherwise(n_kept)
     return rows.select(*[rows[c] for c in docs.columns], worded.cast("long").alias("_n_lines"), (worded - n_kept).cast("long").alias("_n_removed"), F.array_join(kept, "\n").alias("_kept"))
