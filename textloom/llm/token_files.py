@@ -179,7 +179,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             out.close()
 
     key, text = docs["doc_id"], text_bytes(docs)
-    placed = docs.select(key, text.alias("text"), F.xxhash64(text).alias("tie")).repartitionByRange(F.col("doc_id"), F.col("tie")).sortWithinPartitions("doc_id", "tie")
+    # Ranges of ids alone: the sampling of their bounds then reads no text.
+    placed = docs.select(key, text.alias("text"), F.xxhash64(text).alias("tie")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "tie")
     index = placed.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, file_no int, file string, file_start long, n_tokens long")
     return materialize(index, f"{folder}/index")
 
