@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +25,12 @@ def context_pairs(docs: DataFrame, vocabulary: DataFrame, reach: int = 2, tokens
 
     The vocabulary is a map literal of bounded size, so nothing is shuffled."""
     words = vocabulary.select("word", "ix").orderBy("ix").collect()  # at most the vocabulary's size
-    table = F.create_map(*[x for r in words for x in (F.lit(r.word), F.lit(r.ix))]) if words else F.create_map().cast("map<string,int>")
-    ids = F.transform(tokens(docs["text"]), lambda x: F.coalesce(F.try_element_at(table, x), F.lit(0)))
+    # A map is searched from end to end, so the words are dealt to small ones by their checksum.
+    dealt: list[list] = [[] for _ in range(256)]
+    for r in words:
+        dealt[zlib.crc32(r.word.encode()) % 256] += [F.lit(r.word), F.lit(r.ix)]
+    table = F.array(*[F.create_map(*d) if d else F.create_map(F.lit(""), F.lit(0)) for d in dealt])
+    ids = F.transform(tokens(docs["text"]), lambda x: F.coalesce(F.try_element_at(F.get(table, (F.crc32(x.cast("binary")) % 256).cast("int")), x), F.lit(0)))
     coded = docs.select("doc_id", ids.alias("ids"))
     around = lambda x, i: F.struct(i.cast("long").alias("pos"), F.concat(F.slice("ids", F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), F.slice("ids", i + 2, F.lit(reach))).alias("context"), x.alias("target"))
     rows = coded.select("doc_id", F.explode(F.transform("ids", around)).alias("p")).select("doc_id", "p.pos", "p.context", "p.target")

@@ -16,7 +16,8 @@ from ..functions.text import first_position, ngram_tokens, ngrams
 
 def occurrences(docs: DataFrame, n: int, tokens=ngram_tokens) -> DataFrame:
     """doc_id, prefix, next, pos of every n-gram."""
-    return docs.select("doc_id", F.explode(ngrams(tokens(docs["text"]), n)).alias("g")).select("doc_id", "g.prefix", "g.next", "g.pos")
+    # The tokens are a column of their own: a lambda would take them from the text again for each n-gram.
+    return docs.select("doc_id", tokens(docs["text"]).alias("t")).select("doc_id", F.explode(ngrams(F.col("t"), n)).alias("g")).select("doc_id", "g.prefix", "g.next", "g.pos")
 
 
 def frequencies(docs: DataFrame, n: int, tokens=ngram_tokens) -> DataFrame:

@@ -26,7 +26,8 @@ def scores(pairs: DataFrame, keys: list[str], n: int = 1, tokens=overlap_tokens)
 
     Both sides of a pair are counted in one aggregation; no join."""
     rows = pairs.where((F.trim("reference") != "") & (F.trim("prediction") != ""))
-    side = lambda c, name: F.transform(ngrams(tokens(F.col(c)), n), lambda g: F.struct(F.concat_ws(" ", g["prefix"], g["next"]).alias("g"), F.lit(int(name == "p")).alias("p")))
+    rows = rows.select(*keys, tokens(F.col("reference")).alias("reference"), tokens(F.col("prediction")).alias("prediction"))
+    side = lambda c, name: F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.concat_ws(" ", g["prefix"], g["next"]).alias("g"), F.lit(int(name == "p")).alias("p")))
     grams = rows.select(*keys, F.explode_outer(F.concat(side("reference", "r"), side("prediction", "p"))).alias("x")).select(*keys, "x.g", "x.p")
     each = grams.groupBy(*keys, "g").agg(F.count_if(F.col("p") == 1).alias("np"), F.count_if(F.col("p") == 0).alias("nr"))
     total = each.groupBy(*keys).agg(F.sum(F.least("np", "nr")).alias("both"), F.sum("np").alias("np"), F.sum("nr").alias("nr"))

@@ -15,7 +15,8 @@ from ..plans.boolean import membership, parse, terms
 
 def term_counts(docs: DataFrame, tokens=index_tokens) -> DataFrame:
     """term, tf, df over everything seen so far (output mode complete or update)."""
-    own = docs.select(F.explode(F.map_entries(_counted(tokens(docs["text"])))).alias("e"))
+    words = docs.select(F.array_sort(tokens(docs["text"])).alias("w"))
+    own = words.select(F.explode(F.map_entries(_counted(F.col("w")))).alias("e"))
     return own.groupBy(F.col("e.key").alias("term")).agg(F.sum("e.value").alias("tf"), F.count("*").alias("df"))
 
 
@@ -26,9 +27,8 @@ def windowed_term_counts(docs: DataFrame, time: str, window: str = "10 minutes",
     return rows.groupBy(F.window(time, window), "term").agg(F.count("*").alias("tf"))
 
 
-def _counted(tokens):
-    """term -> count within one document."""
-    words = F.array_sort(tokens)
+def _counted(words):
+    """term -> count within one document, from its sorted tokens."""
     return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.size(F.filter(words, lambda x: x == w)).cast("long"))))
 
 
