@@ -26,22 +26,28 @@ from pyspark.sql import functions as F
 
 from .common import prepare, slices, text_bytes
 
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Units longer than this are encoded each time anew.
 _LONG = 64
 
 
+def _odd(text: str) -> bool:
+    """Whether there is white space other than blanks and line feeds.  A search for
+    each such character is much faster than a regular expression's walk."""
+    return any(c in text for c in _OTHER_SPACES)
+
+
 def units(text: str) -> list[str]:
     """The text cut at safe boundaries; joined again they are the text."""
-    return [text] if _OTHER_SPACE.search(text) else _UNIT.findall(text)
+    return [text] if _odd(text) else _UNIT.findall(text)
 
 
 def _cut(text: str) -> tuple[str, list[str]]:
     """The same cuts for most texts at less cost: the text is the first part and
     then, each after a blank, the others.  Where blanks and line feeds do not
     stand alone between words, the units follow the first part without blanks."""
-    if _OTHER_SPACE.search(text) or "\1" in text:
+    if _odd(text) or "\1" in text:
         return text, []
     if text[:1] in ("", " ") or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
         return "", ["\1" + u for u in _UNIT.findall(text)]
@@ -49,36 +55,58 @@ def _cut(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+class _Memory(dict):
+    """Ids of units; those it lacks are taken from the generation before or noted."""
+
+    def __init__(self, old: dict):
+        self.old, self.new = old, []
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            self.new.append(key)
+            return b""
+        self[key] = ids
+        return ids
+
+
 class UnitEncoder:
     """encode_many(list of str) -> list of id sequences, behind a memory of units
     in two generations: a full one becomes the old one, and the one before goes."""
 
     def __init__(self, encode_many, dtype, most: int = 350_000):
         self.encode_many, self.dtype, self.most = encode_many, np.dtype(dtype), most
-        self.memory, self.old = {}, {}
+        self.memory = _Memory({})
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
 
-    def _learn(self, keys: set[str], extra: dict) -> None:
-        new = keys - self.memory.keys()
-        if not new:
-            return
-        if len(self.memory) > self.most:
-            self.old, self.memory = self.memory, {}
-            new = keys
-        for k in new & self.old.keys():
-            self.memory[k] = self.old[k]
-        new = list(new - self.memory.keys())
+    def _learn(self) -> dict:
+        """Encode the units noted as new; those too long to remember are returned."""
+        new, long = list(dict.fromkeys(self.memory.new)), {}
+        self.memory.new.clear()
         many = [k[1:] if k[:1] == "\1" else " " + k for k in new]
         for k, ids in zip(new, self.encode_many(many), strict=True):
-            (self.memory if len(k) <= _LONG else extra)[k] = array(self.code, ids).tobytes()
+            (self.memory if len(k) <= _LONG else long)[k] = array(self.code, ids).tobytes()
+        return long
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian integers of the dtype."""
-        cut = [_cut(t) for t in texts]
-        extra: dict = {}
-        self._learn({"\1" + first for first, _ in cut}.union(*(rest for _, rest in cut)), extra)
-        find = (lambda k: extra[k] if k in extra else self.memory[k]) if extra else self.memory.__getitem__
-        return [find("\1" + first) + b"".join(map(find, rest)) for first, rest in cut]
+        if len(self.memory) > self.most:
+            full, self.memory.old = self.memory, {}
+            self.memory = _Memory(full)
+        find, new = self.memory.__getitem__, self.memory.new
+        out, again = [], []
+        for i, text in enumerate(texts):
+            first, rest = _cut(text)
+            before = len(new)
+            out.append(find("\1" + first) + b"".join(map(find, rest)))
+            if len(new) > before:
+                again.append((i, first, rest))
+        if again:
+            long = self._learn()
+            known = (lambda k: long[k] if k in long else find(k)) if long else find
+            for i, first, rest in again:
+                out[i] = known("\1" + first) + b"".join(map(known, rest))
+        return out
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
