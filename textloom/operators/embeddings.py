@@ -191,7 +191,7 @@ def _best(targets: DataFrame, held: list, k: int, id_column: str, vec: str, skip
             best = np.lexsort((np.broadcast_to(rank_of[:, None], sims.shape), -sims), axis=0)[:k]
             at, col = best.ravel(), np.tile(np.arange(len(q_ids)), len(best))
             good = np.isfinite(sims[at, col])
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[col[good]]), pa.array(ids[at[good]]), pa.array(sims[at, col][good])], names=["query_id", "id", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[col[good]]).cast(rb.column(0).type), pa.array(ids[at[good]]).cast(rb.column(0).type), pa.array(sims[at, col][good])], names=["query_id", "id", "similarity"])
 
     rows = targets.where(F.col(vec).isNotNull()).select(id_column, vec)
     return rows.mapInArrow(run, f"query_id {kind}, id {kind}, similarity double")

@@ -297,8 +297,8 @@ def most_similar_pair(spark, sf_dir):
 
 QUERIES |= {"tfidf": tfidf_weights} | {f.__name__: f for f in (doc_norms, query_score_set, query_score_multiset, cosine_neighbours, most_similar_pair)}
 _TFIDF = f"""
-SELECT doc_id, term, cnt / n AS tf, ln((SELECT count(*) FROM documents WHERE length(text) > 0) / count(*) OVER (PARTITION BY term)) AS idf, tf * idf AS w
-FROM (SELECT doc_id, term, count(*) AS cnt, any_value(n) AS n FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT doc_id, {SQL_TOKENS['tfidf']} AS t FROM documents WHERE length(text) > 0)) GROUP BY doc_id, term)"""
+SELECT *, tf * idf AS w FROM (SELECT doc_id, term, cnt / n AS tf, ln((SELECT count(*) FROM documents WHERE length(text) > 0) / count(*) OVER (PARTITION BY term)) AS idf
+FROM (SELECT doc_id, term, count(*) AS cnt, any_value(n) AS n FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT doc_id, {SQL_TOKENS['tfidf']} AS t FROM documents WHERE length(text) > 0)) GROUP BY doc_id, term))"""
 ORACLE_SQL["tfidf"] = f"SELECT doc_id, term, round(tf, 6) AS tf, round(idf, 6) AS idf, round(w, 6) AS w FROM ({_TFIDF})"
 ORACLE_SQL["doc_norms"] = f"SELECT doc_id, round(sqrt(sum(w * w)), 6) AS norm FROM ({_TFIDF}) GROUP BY doc_id"
 ORACLE_SQL["query_score_set"] = f"SELECT doc_id, round(sum(w), 6) AS score FROM ({_TFIDF}) WHERE term IN ({_sql(dict.fromkeys(QUERY_TEXT.split()))}) GROUP BY doc_id HAVING sum(w) > 1e-9"
