@@ -55,7 +55,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     fold = lambda h, salt: (mix(h + np.uint64(salt)) >> np.uint64(64 - _BITS)).astype(np.int64)
     for n in range(1, 6):
         code = code * np.uint64(0x9E3779B97F4A7C15)
-        code[: len(chars) - n + 1] += chars[n - 1 :] + np.uint64(n)
+        code[: max(0, len(chars) - n + 1)] += chars[n - 1 :] + np.uint64(n)
         fits = left >= n
         if n < 5:
             at = np.flatnonzero(fits)
@@ -245,7 +245,7 @@ def bulk_posteriors(e: np.ndarray, ends: np.ndarray, transitions: np.ndarray, ch
 class Predictor:
     """Applies a model to lists of texts; a bounded memory of words' scores."""
 
-    limit = 200_000
+    limit, chunk = 200_000, 10_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -269,10 +269,11 @@ class Predictor:
             self.ids[w] = at + i
         self.scores[at:need] = 0
         self.lettered[at:need] = False
-        if full:
-            f, of = features([words[i] for i in full])
-            lex = np.stack([self.model.lex(words[i]) for i in full])
-            rows = at + np.array(full)
+        for a in range(0, len(full), self.chunk):  # features take some 1 KB a word
+            part = full[a : a + self.chunk]
+            f, of = features([words[i] for i in part])
+            lex = np.stack([self.model.lex(words[i]) for i in part])
+            rows = at + np.array(part)
             self.scores[rows] = self.model.emissions(f, of, lex)
             self.lettered[rows] = True
 
