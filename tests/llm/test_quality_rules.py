@@ -49,3 +49,25 @@ def test_fences_follow_the_group(spark):
     got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i].kept for i in range(60)) and all(got[100 + i].kept for i in range(60))
     assert not got[1000].kept and not got[1001].kept
+
+
+def test_each_fence_alone_rejects(spark):
+    """Rows that pass the base, each beyond one fence of its group only."""
+    rng = np.random.default_rng(5)
+    words = lambda n: ["w%d" % x for x in rng.integers(10**5, 10**6, n)]
+
+    def passage(n):  # n of 100 words stand in a passage of n / 2 words that is given twice
+        w = words(100 - n // 2)
+        return " ".join(w + w[: n // 2])
+
+    lines = lambda n, same: "\n".join(x for i in range(n - same) for x in [" ".join(words(6)), "one two three"][: 1 + (i < same)])
+    rows = [(i, " ".join(words(100)), "en", "plain") for i in range(60)]
+    rows += [(100 + i, passage(2 * (i % 14)), "en", "songs") for i in range(60)]
+    rows += [(200 + i, lines(10, 1 + i % 5), "en", "lists") for i in range(60)]
+    rows += [(1000, " ".join("averyveryverylong" + w for w in words(100)), "en", "plain"), (1001, " ".join(words(100)) + "#" * 60, "en", "plain")]
+    rows += [(1002, lines(10, 4), "en", "plain"), (1003, passage(24), "en", "plain"), (1004, passage(24), "en", "songs"), (1005, lines(10, 4), "en", "lists")]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].failed for i in range(1000, 1006)] == [["word_len"], ["symbol_rate"], ["dup_line_rate"], ["repeat_rate"], [], []]
+    assert [got[i].kept for i in range(1000, 1006)] == [False] * 4 + [True] * 2
+    assert all(got[i].kept for s in (0, 100, 200) for i in range(s, s + 60))
