@@ -160,3 +160,18 @@ def test_decontaminate_brute(spark):
     none = bench.where("false")
     assert decontaminate.find_contamination(df, none).count() == 0 and decontaminate.drop_contaminated(df, none).count() == df.count()
     assert decontaminate.find_contamination(empty_docs(spark), bench).count() == 0
+
+
+def test_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from textloom.llm.queries import QUERIES
+
+    texts = ["We ask: WHO wrote\n it? Then more", "nobody who wrote items", "café and art", "cafe\u0301 too", "an artist", "東京大学へ", "1,2 art", None, "é é art_x art"]
+    items = ["who wrote it", "art", "cafe", "大学", "?", "", None, "é", "art"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.span_start, r.span_end) for r in QUERIES["op4_decontaminate"](spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 0, 8, 20), (0, 4, 0, 20, 21), (2, 1, 0, 9, 12), (2, 8, 0, 9, 12), (5, 3, 0, 2, 4), (6, 1, 0, 4, 7), (6, 8, 0, 4, 7), (8, 1, 0, 10, 13), (8, 7, 0, 0, 1), (8, 8, 0, 10, 13)]
+    kept = corpus_pipeline.drop_benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {1, 3, 4, 7}

@@ -9,15 +9,19 @@ distance over that place decides.  The test items are a stated query set: they
 are read in blocks of bounded size, each block is one pass over the documents,
 and documents are never shuffled.
 
-Defined results: null or empty texts match nothing; items that are null or
-shorter than `least` characters are not looked for (a piece would be a common
-word); equal items each give their row; a repeated document gives repeated rows;
+An item with no budget (under 32 characters) is one piece: it counts where it
+stands word for word, not inside a longer word, and its first such place is given.
+
+Defined results: null or empty texts match nothing; items that are null or have
+no characters are not looked for, nor those shorter than `least` (the registered
+queries look for all: they pass 1); equal items each give their row; a repeated document gives repeated rows;
 an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import prepare, text_bytes
 
 _ODD = re.compile(r"[^\S ]|  ")
+#: Thai, Lao, Burmese, Khmer, kana, Han: written without blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str) -> str:
@@ -38,12 +44,28 @@ def budget(m: int, piece: int = 16) -> int:
     return max(0, m // piece - 1)
 
 
+#: Items under so many characters have no budget.
+_SHORT = 32
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     """The item in k + 1 runs of nearly equal length, with where they start."""
     cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _inside(a: str, b: str) -> bool:
+    """Whether neighbouring characters a, b are of one word."""
+    if unicodedata.category(b)[0] == "M":
+        return True
+    return all((c == "_" or unicodedata.category(c)[0] in "LMN") and not _UNSPACED.match(c) for c in (a, b))
+
+
+def whole_words(text: str, a: int, b: int) -> bool:
+    """Whether no word of the text goes on over either end of text[a:b]."""
+    return not (a > 0 and _inside(text[a - 1], text[a]) or b < len(text) and _inside(text[b - 1], text[b]))
+
+
 def myers(pattern: str, text: str) -> tuple[int, int]:
     """The least edit distance of the pattern to any run of the text, and the
     first place where such a run ends (-1: the empty run at the start)."""
@@ -86,10 +108,11 @@ class Matcher:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        at: dict[str, list[tuple[int, int]]] = {}
+        at: dict[str, list[tuple[int, int, bool]]] = {}
         for n, (_, item) in enumerate(self.items):
+            short = len(item) < _SHORT
             for start, piece in pieces(item, budget(len(item))):
-                at.setdefault(piece, []).append((n, start + len(piece)))
+                at.setdefault(piece, []).append((n, start + len(piece), short))
         for piece, places in at.items():
             self.automaton.add_word(piece, places)
         self.automaton.make_automaton()
@@ -101,10 +124,14 @@ class Matcher:
             self.build()
         text = normalise(text)
         spots: dict[int, list[int]] = {}
+        exact: dict[int, int] = {}
         for end, places in self.automaton.iter(text):
-            for n, done in places:
-                spots.setdefault(n, []).append(end + 1 - done)
-        found = []
+            for n, done, short in places:
+                if not short:
+                    spots.setdefault(n, []).append(end + 1 - done)
+                elif n not in exact and whole_words(text, end + 1 - done, end + 1):
+                    exact[n] = end + 1 - done
+        found = [(self.items[n][0], 0, a, a + len(self.items[n][1])) for n, a in exact.items()]
         for n, starts in spots.items():
             ids, item = self.items[n]
             k, m = budget(len(item)), len(item)
@@ -131,7 +158,7 @@ def item_blocks(benchmark: DataFrame, id_column: str = "item_id", least: int = 3
     size = 0
     for r in benchmark.select(id_column, "text").toLocalIterator():
         item = normalise(r[1] or "")
-        if len(item) < least:
+        if len(item) < max(least, 1):
             continue
         if size + len(item) > block_chars and held:
             yield Matcher([(ids, t) for t, ids in held.items()])
@@ -143,7 +170,7 @@ def item_blocks(benchmark: DataFrame, id_column: str = "item_id", least: int = 3
         yield Matcher([(ids, t) for t, ids in held.items()])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", least: int = 32) -> DataFrame:
     """A row for each document and item found in it: the ids, distance, and the
     span in the normalised text."""
     import pyarrow as pa
@@ -164,12 +191,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
         return source.mapInArrow(run, schema)
 
     out = None
-    for matcher in item_blocks(benchmark):
+    for matcher in item_blocks(benchmark, least=least):
         out = passing(matcher) if out is None else out.unionAll(passing(matcher))
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 32) -> DataFrame:
     """The documents in which no item is found, all columns as they are."""
     prepare(docs.sparkSession)
 
@@ -181,6 +208,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return found_nothing
 
-    for matcher in item_blocks(benchmark):
+    for matcher in item_blocks(benchmark, least=least):
         docs = docs.where(clean(matcher)(docs["text"]))
     return docs
