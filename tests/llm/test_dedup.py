@@ -191,6 +191,16 @@ def test_near_odd(spark):
     assert near_dups.near_duplicate_classes(empty_docs(spark)).count() == 0 and near_dups.keep_representatives(empty_docs(spark)).count() == 0
 
 
+def test_one_representative_without_ids(spark):
+    """Unlike-worded near copies that all have a null id, or the same one."""
+    base = {i: [f"{i}w{j}" for j in range(200)] for i in "abc"}
+    near = lambda i, n: " ".join(base[i][:-1] + [f"end{n}"])
+    rows = [(None, near("a", n)) for n in range(3)] + [(7, near("b", n)) for n in range(3)] + [(7, near("c", 0)), (None, near("c", 1)), (None, ""), (None, " ")]
+    kept = [tuple(r) for r in near_dups.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == len(set(kept)) == 5 and set(kept) <= set(rows)
+    assert [sum(i == k and t.startswith(w) for i, t in kept) for k, w in ((None, "a"), (7, "b"), (7, "c"), (None, "c"))] == [1, 1, 1, 0]
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]

@@ -321,6 +321,12 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, node, class_id (the least doc_id of
     its class) and n_links (verified links of its text to other texts, of those
     that had to be compared)."""
+    return _classes(docs)
+
+
+def _classes(docs: DataFrame, *also: str) -> DataFrame:
+    """near_duplicate_classes() and, if asked for, `component`: the class itself,
+    whatever its ids (null for texts without words)."""
     prepare(docs.sparkSession)
     signed = materialize(_signed(docs))
     nodes = signed.where("n_words > 0")
@@ -352,15 +358,17 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     named = ids.join(comp, "node", "left").join(degree, "node", "left")
     named = named.select("node", "doc_id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = materialize(named.join(least, "component").select("node", "class_id", "n_links"))
+    named = materialize(named.join(least, "component").select("node", "class_id", "n_links", *also))
     out = signed.select("doc_id", "node", "n_words").join(named, "node", "left")
-    return out.select("doc_id", "node", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "node", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *also)
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least id; all columns as they
-    are.  Of rows with equal id and words one stays; texts without words all stay."""
-    classes = near_duplicate_classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    are.  Of rows with that id, null too, one stays; texts without words all stay."""
+    least = _classes(docs, "component").where("doc_id <=> class_id")
+    best = least.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("b")).select("b.doc_id", "b.node")
+    classes = best.unionAll(least.where("component is null").select("doc_id", "node")).distinct().select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
 
     @F.pandas_udf("binary")
     def node(texts: pd.Series) -> pd.Series:
