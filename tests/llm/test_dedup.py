@@ -91,6 +91,38 @@ def test_lines_brute(spark):
     assert got == kept_lines(docs)
 
 
+def test_lines_of_words_in_another_order(spark):
+    """Lines with the same neighbouring words must not hide each other."""
+    docs = list(enumerate(["pppp xx aa bb xx cc dd xx", "pppp xx cc dd xx aa bb xx", "qppp xx cc dd xx aa bb xx", "pppp xx aa bb xx cc dd xz"]))
+    got = {r.doc_id: r._kept for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == kept_lines(docs) and got[2] == "" and got[3] == ""
+
+
+def test_lines_permuted(spark):
+    rng = random.Random(11)
+    docs = []
+    for i in range(150):
+        w = ["aa", "bb", "xx", "cc", "aa", "xx", "bb", ""]
+        rng.shuffle(w)
+        x = "pp " + " ".join(w) + " end"
+        for _ in range(rng.randint(0, 2)):
+            p = rng.randrange(len(x))
+            x = x[:p] + rng.choice(["", " ", "q"]) + x[p + rng.randint(0, 1) :]
+        docs.append((i, x))
+    got = {r.doc_id: r._kept for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == kept_lines(docs)
+
+
+def test_lines_names_clash(spark):
+    names = ["places", "every", "_all", "_flags", "flag", "_p_id", "p_id", "p_rk", "rk", "_kept", "_n_lines", "_n_removed", "line", "stays"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a line that is long enough\nx", "a line that is long enough\ny", "z"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = line_dedup.drop_repeated_lines(df)
+    want = [(i, "y" if i == 1 else t, *rest) for i, t, *rest in rows]
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == want
+    assert line_dedup.dedup_lines(df).columns == [*df.columns, "__n_lines", "__n_removed", "__kept"]
+
+
 def test_lines_odd(spark):
     df = odd_docs(spark)
     rows = line_dedup.op10(df).collect()

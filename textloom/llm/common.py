@@ -4,7 +4,9 @@ hashing in bulk, and the merging of per-partition blocks."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -18,7 +20,8 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless they were set on purpose."""
+    """Bound the Arrow batches of this session, unless they were set on purpose.  The
+    bound stays set: plans read it when they run, after the operator has returned."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
@@ -26,9 +29,13 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared one that the cluster names in
-    spark.checkpoint.dir; where that is unset (tests), a local one."""
+    spark.checkpoint.dir; where that is unset, a local one if driver and executors
+    are one process (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
         base = getattr(shared_dir, "local", None)
         if base is None:
             base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="textloom-")
@@ -49,21 +56,38 @@ def _remove(spark: SparkSession, path: str) -> None:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_cleaners: dict = {"lock": threading.Lock(), "running": 0, "before": None}
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """The setting while writes run; the last of several threads puts it back."""
+    c = _cleaners
+    with c["lock"]:
+        if not c["running"]:
+            c["before"] = spark.conf.get(_CLEAN, None)
+            spark.conf.set(_CLEAN, "true")
+        c["running"] += 1
+    try:
+        yield
+    finally:
+        with c["lock"]:
+            c["running"] -= 1
+            if not c["running"]:
+                if c["before"] is None:
+                    spark.conf.unset(_CLEAN)
+                else:
+                    spark.conf.set(_CLEAN, c["before"])
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage
     ends there, and a lost executor costs only the running stage.  Shuffle files of
     the write go with its end, not only when the driver next collects its garbage."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _cleaning(spark):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -75,6 +99,19 @@ def discard(*stored: DataFrame) -> None:
         _remove(df.sparkSession, df.stored_at)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it unlike every
+    column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_bytes(docs: DataFrame, column: str = "text"):
     """The text as bytes, null as empty."""
     return F.coalesce(docs[column].cast("string"), F.lit("")).cast("binary")
@@ -160,10 +197,8 @@ def merge_blocks(df: DataFrame, merge, fan_in: int = 64) -> DataFrame:
     def one(key, pdf):
         return pd.DataFrame({"part": [int(key[0])], "block": [int(key[1])], "data": [merge(list(pdf["data"]))]})
 
-    parts = df.sparkSession.sparkContext.defaultParallelism
     most = df.agg(F.max("part")).first()[0] or 0
     while most > 0:
         most //= fan_in
         df = df.groupBy(F.expr(f"part div {fan_in}").cast("int").alias("part"), "block").applyInPandas(one, "part int, block int, data binary")
-    del parts
     return df

@@ -9,12 +9,12 @@ Lines without a word always stay.
 Equal lines become one by aggregation.  Two lines within one edit share their
 first or their last half; only lines that share such a half with another take
 part in the join, which loses nothing.  Each of those emits, as hashed keys, itself
-and every variant with one character deleted.  The hash of a line is a sum over its
-neighbouring words, so the key of a variant costs only the words around the
-deletion, however long the line.  Lines with one variant, deleted at the same
-place, are within a substitution of each other, so the earliest of such a group
-removes the others without pairs; a variant that is a line itself gives an
-insertion or deletion.  Every decision is verified with levenshtein().
+and every variant with one character deleted.  The hash of a line combines its words'
+hashes at their places, so the key of a variant costs only the words around the
+deletion, however long the line, and stands for one text (64 bits).  Lines with one
+variant, deleted at the same place, are within a substitution of each other, so the
+earliest of such a group removes the others without pairs; a variant that is a line
+itself gives an insertion or deletion.  Every decision is verified with levenshtein().
 
 Defined results: null texts are empty; documents with a null id come after all
 others; rows with equal id and text are one document, and all its copies get the
@@ -28,10 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, free_names, materialize
 
 _HAS_WORD = r"[^\x20\x09-\x0D]"
-_MASK = (1 << 40) - 1
 
 
 def _text(docs: DataFrame) -> Column:
@@ -46,43 +45,31 @@ def _half_keys(line: Column) -> Column:
     return F.array_distinct(F.array(key(0, big), key(1, big), key(0, small), key(1, small)))
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.xxhash64(a, b)
-
-
-def _low(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(_MASK))
-
-
-def _high(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 24)
-
-
 def _variants(lines: DataFrame) -> DataFrame:
     """id, k, pos of each line(id, line) itself (pos -1) and with each character
-    deleted."""
+    deleted.  The key of a line is the exclusive or of the hashes of its words, each
+    with its number in the line, and the length.  h is a word's hash at its own
+    number, g at the one before, which it has once two words before it are joined."""
     w = F.split("line", " ", -1)
     lines = lines.select("id", F.length("line").alias("n"), w.alias("w"))
-    at = lambda j: F.get("w", j)
-    around = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda j: F.struct(F.coalesce(at(j - 1), F.lit("^\n")).alias("a"), at(j).alias("b"), at(j + 1).alias("c"), at(j + 2).alias("d")))
-    end = F.lit("$\n")
-    rows = lines.select("id", "n", F.posexplode(around).alias("j", "x")).select("id", "n", "j", "x.*")
-    rows = rows.withColumn("h", _pair(F.col("b"), F.coalesce("c", end))).withColumn("h0", F.when(F.col("j") == 0, _pair(F.lit("^\n"), F.col("b"))))
+    two = F.arrays_zip(F.col("w").alias("b"), F.slice("w", F.lit(2), F.size("w")).alias("c"))
+    rows = lines.select("id", "n", F.posexplode(two).alias("j", "x")).select("id", "n", "j", "x.b", "x.c")
+    rows = rows.withColumn("h", F.xxhash64("j", "b")).withColumn("g", F.xxhash64(F.col("j") - 1, "b"))
     whole = Window.partitionBy("id")
-    rows = rows.withColumn("s1", F.sum(_low(F.col("h")) + F.coalesce(_low(F.col("h0")), F.lit(0))).over(whole)).withColumn("s2", F.sum(_high(F.col("h")) + F.coalesce(_high(F.col("h0")), F.lit(0))).over(whole))
-    before = Window.partitionBy("id").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("off", F.coalesce(F.sum(F.length("b") + 1).over(before), F.lit(0)))
-    itself = rows.where("j = 0").select("id", F.xxhash64("s1", "s2", F.col("n").cast("long")).alias("k"), F.lit(-1).cast("long").alias("pos"))
+    before = whole.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda x: F.coalesce(x.over(before), F.lit(0))
+    rows = rows.withColumn("all_h", F.bit_xor("h").over(whole)).withColumn("all_g", F.bit_xor("g").over(whole))
+    rows = rows.withColumn("off", earlier(F.sum(F.length("b") + 1))).withColumn("pre_h", earlier(F.bit_xor("h"))).withColumn("pre_g", earlier(F.bit_xor("g")))
+    itself = rows.where("j = 0").select("id", F.xxhash64("all_h", "n").alias("k"), F.lit(-1).cast("long").alias("pos"))
     last = F.when(F.col("c").isNull(), F.length("b") - 1).otherwise(F.length("b"))
     cut = rows.where((F.length("b") > 0) | F.col("c").isNotNull()).withColumn("i", F.explode(F.sequence(F.lit(0), last)))
-    a, b, c, d = F.col("a"), F.col("b"), F.col("c"), F.coalesce("c", end)
-    joined = F.col("i") == F.length("b")
-    short = F.when(joined, F.concat(b, c)).otherwise(F.concat(F.expr("left(b, i)"), F.expr("substring(b, i + 2)")))
-    follow = F.when(joined, F.coalesce("d", end)).otherwise(d)
-    cut = cut.select("id", "n", "s1", "s2", (F.col("off") + F.col("i")).alias("pos"), _pair(a, b).alias("o1"), F.col("h").alias("o2"), F.when(joined, _pair(c, F.coalesce("d", end))).alias("o3"), _pair(a, short).alias("n1"), _pair(short, follow).alias("n2"))
-    moved = lambda part, s: F.col(s) - part(F.col("o1")) - part(F.col("o2")) - F.coalesce(part(F.col("o3")), F.lit(0)) + part(F.col("n1")) + part(F.col("n2"))
-    key = F.xxhash64(moved(_low, "s1"), moved(_high, "s2"), (F.col("n") - 1).cast("long"))
-    return itself.unionAll(cut.select("id", key.alias("k"), F.col("pos").cast("long").alias("pos")))
+    xor = lambda first, *rest: xor(first.bitwiseXOR(rest[0]), *rest[1:]) if rest else first
+    short = F.concat(F.expr("left(b, i)"), F.expr("substring(b, i + 2)"))
+    inside = xor(F.col("all_h"), F.col("h"), F.xxhash64("j", short))
+    # The blank after the word is deleted: both words are one, and the later ones move.
+    joined = xor(F.col("pre_h"), F.xxhash64("j", F.concat("b", "c")), F.col("all_g"), F.col("pre_g"), F.col("g"), F.xxhash64("j", "c"))
+    key = F.xxhash64(F.when(F.col("i") == F.length("b"), joined).otherwise(inside), F.col("n") - 1)
+    return itself.unionAll(cut.select("id", key.alias("k"), (F.col("off") + F.col("i")).cast("long").alias("pos")))
 
 
 def kept_places(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -122,33 +109,40 @@ def kept_places(docs: DataFrame, least: int = 20) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, least: int = 20) -> DataFrame:
-    """docs with n_lines (lines with a word), n_removed and kept (the text that is
-    left) beside its own columns, which win where a name clashes."""
-    extra = {c: f"_{c}_{i}" for i, c in enumerate(("rk", "n_lines", "n_removed", "kept"))}
-    places = kept_places(docs, least).select(F.col("doc_id").alias("_p_id"), F.col("rk").alias("_p_rk"), "places")
+    """docs with _n_lines (lines with a word), _n_removed and _kept (the text that is
+    left) beside its own columns; where docs has such a column, it stays and the new
+    one gets a further underscore."""
+    return _dedup(docs, least)[0]
+
+
+def _dedup(docs: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
+    """dedup_lines() and the names of its three columns."""
+    rk, p_id, p_rk, places, every, flag, *added = free_names(docs, "rk", "p_id", "p_rk", "places", "every", "flag", "_n_lines", "_n_removed", "_kept")
+    found = kept_places(docs.select("doc_id", "text"), least).select(F.col("doc_id").alias(p_id), F.col("rk").alias(p_rk), F.col("places").alias(places))
     text = _text(docs)
-    rows = docs.withColumn(extra["rk"], F.xxhash64(text)).withColumn("_all", F.split(text, "\n", -1))
-    rows = rows.join(places, rows["doc_id"].eqNullSafe(F.col("_p_id")) & (rows[extra["rk"]] == F.col("_p_rk")), "left")
-    gap = lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get("places", i - 1), F.lit(-1)) - 1), F.lit("1"))
-    flags = F.split(F.array_join(F.transform("places", gap), ""), "")
-    rows = rows.withColumn("_flags", flags)
-    worded = F.size(F.filter("_all", lambda x: x.rlike(_HAS_WORD)))
+    rows = docs.withColumn(rk, F.xxhash64(text)).withColumn(every, F.split(text, "\n", -1))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col(p_id)) & (F.col(rk) == F.col(p_rk)), "left")
+    gap = lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get(places, i - 1), F.lit(-1)) - 1), F.lit("1"))
+    flags = F.split(F.array_join(F.transform(places, gap), ""), "")
+    rows = rows.withColumn(flag, flags)
+    worded = F.size(F.filter(every, lambda x: x.rlike(_HAS_WORD)))
     # Zipped, since a lambda would work its outer columns out again for each line.
-    kept = F.transform(F.filter(F.arrays_zip("_all", F.coalesce("_flags", F.array().cast("array<string>")).alias("_flags")), lambda x: x["_all"].isNotNull() & (~x["_all"].rlike(_HAS_WORD) | F.coalesce(x["_flags"] == "1", F.lit(False)))), lambda x: x["_all"])
-    n_kept = F.coalesce(F.size("places"), F.lit(0))
-    n_kept = F.when(F.col("places").isNull(), F.lit(0)).otherwise(n_kept)
-    return rows.select(*[rows[c] for c in docs.columns], worded.cast("long").alias("_n_lines"), (worded - n_kept).cast("long").alias("_n_removed"), F.array_join(kept, "\n").alias("_kept"))
+    both = F.arrays_zip(F.col(every).alias("line"), F.coalesce(flag, F.array().cast("array<string>")).alias("stays"))
+    kept = F.transform(F.filter(both, lambda x: x["line"].isNotNull() & (~x["line"].rlike(_HAS_WORD) | F.coalesce(x["stays"] == "1", F.lit(False)))), lambda x: x["line"])
+    n_kept = F.when(F.col(places).isNull(), F.lit(0)).otherwise(F.size(places))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], worded.cast("long").alias(added[0]), (worded - n_kept).cast("long").alias(added[1]), F.array_join(kept, "\n").alias(added[2])), added
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     """docs with the lines that stay as text (and its length as n_chars, if there is
     such a column); documents that had words and lost all of them go."""
-    out = dedup_lines(docs).where("_n_lines = 0 or _n_removed < _n_lines")
-    cols = []
-    for c in docs.columns:
-        new = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-        cols.append(new.alias("text") if c == "text" else F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c))
-    return out.select(*cols)
+    out, (n_lines, n_removed, kept) = _dedup(docs, least)
+    fewer = F.col(n_removed) > 0
+    new = {"text": F.when(fewer, F.col(kept)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(fewer, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    left = out.where((F.col(n_lines) == 0) | (F.col(n_removed) < F.col(n_lines)))
+    return left.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10(docs: DataFrame) -> DataFrame:
