@@ -45,6 +45,35 @@ def test_encode_decode(spark, odd):
     assert sorted(bytes(r.decoded) for r in again.collect()) == sorted(bytes(r.decoded) for r in rows)
 
 
+HARD = ["don't! can't, 'tis 's' it's'll", "(brackets) [x], y", "a,b;c 1,000.00 2nd 3rd.", "tab\tword,\t next  one.\t\t end", "é, ñandú! Ǆ. ɐ. ß? \u180e x\u180e y", "\1 odd \1odd \1", "x_ y__ z'", "nbsp\xa0 here,\xa0 and \x85 there\x1d now", "a \n\n b\n\n\nc.\nd,\n", "²³½ x², y½. ٣.", "word" * 40 + ", " + "日本語、" * 50, "e\u0301, a\u0301\u0302!", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>  c <|endoftext"]
+
+
+def test_units_of_hard_texts():
+    enc, coder = bpe.tiktoken_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    own = token_files.text_encoder(P.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(1)
+    alphabet = list("ab é1,.'!\n\n  \t") + ["\xa0", "'s", "日", "\u3000", "\1", "  ", "<|endoftext|>"]
+    mixed = ["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(3000)]
+    for t in HARD + mixed + HARD:
+        assert "".join(bpe.units(t)) == t
+        assert np.frombuffer(coder(t), "<i4").tolist() == enc.encode_ordinary(t), t
+        assert np.frombuffer(own(t), own.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(own("<|endoftext|> here"), own.dtype).tolist() == [50256, 994]
+
+
+def test_memory_of_units_is_bounded():
+    enc, _ = bpe.tiktoken_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    coder = bpe.UnitEncoder(enc.encode_ordinary, "<i4", most=50)
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        t = " ".join(f"w{x}," for x in rng.integers(0, 300, 60))
+        assert np.frombuffer(coder(t), "<i4").tolist() == enc.encode_ordinary(t)
+        assert len(coder.memory) <= 100 and len(coder.memory.old) <= 100
+
+
 def test_op5(spark, sf):
     enc = plain_tiktoken()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -61,7 +90,6 @@ def expected_op1(rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text in rows:
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
@@ -91,7 +119,10 @@ def test_token_files_odd_rows_and_small_files(spark, odd, tmp_path):
     for uri in files:
         f = token_files.SequenceFile(uri)
         real = sum(r.n_tokens for r in index.where(index.file == uri).collect())
-        assert sum(int(f.mask(i).sum()) for i in range(len(f))) == real
+        masks = [f.mask(i) for i in range(len(f))]
+        assert sum(m.to_pylist().count(True) for m in masks) == real and all(len(m) == 16 for m in masks)
+        assert all((np.unpackbits(f.mask_bits(i), bitorder="little") == m.to_numpy(zero_copy_only=False)).all() for i, m in enumerate(masks))
+        assert not f.mask_bits(0).flags.owndata and f.mask(len(f) - 1).to_pylist()[-1] == (real % 16 == 0)
         whole = np.concatenate([f.sequence(i) for i in range(len(f))])
         assert len(whole) == 16 * len(f) and (whole[:real] == f.ids(0, real)).all()
         assert not f.sequence(0).flags.owndata  # a view into the file

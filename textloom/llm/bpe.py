@@ -3,11 +3,13 @@
 A text is cut at *safe boundaries*, where a blank or line feed follows a
 character that is not white space.  No match of the pre-splitting pattern
 crosses such a place, and none looks beyond it (its only lookahead stands after
-white space), so the units can be encoded one by one and their ids joined.
-Units return often; each worker keeps a bounded memory of them, and units not
-in it are encoded by the library in one call per batch.  A text of any length
-is handled as a list of small units; texts with other white space go to the
-library whole.
+white space), so the units can be encoded one by one and their ids joined, whatever
+other white space a text has and however long it is.
+
+Units return often: each worker keeps a bounded memory of them, from task to task.  A
+unit not in it is put together from parts that are: at safe boundaries, and where
+marks follow its last letter or digit (a match of the pattern ends there too).  Only
+what is left goes to the library.
 
 Defined results: a null text is encoded like an empty one (no ids); bytes that
 are not UTF-8 become U+FFFD; repeated rows give repeated results; other columns
@@ -26,87 +28,83 @@ from pyspark.sql import functions as F
 
 from .common import prepare, slices, text_bytes
 
-_OTHER_SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: What some regular-expression library may take for white space is none here.
+_SAFE = re.compile("(?<=[^\\s\u180e])(?=[ \\n])")
+_OTHER_SPACES = [*(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"), "\u180e"]
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Below this, what is a letter or a digit is the same in all versions of Unicode.
+_LATIN = "\u0250"
 #: Units longer than this are encoded each time anew.
 _LONG = 64
 
 
-def _odd(text: str) -> bool:
-    """Whether there is white space other than blanks and line feeds.  A search for
-    each such character is much faster than a regular expression's walk."""
-    return any(c in text for c in _OTHER_SPACES)
-
-
 def units(text: str) -> list[str]:
     """The text cut at safe boundaries; joined again they are the text."""
-    return [text] if _odd(text) else _UNIT.findall(text)
+    return _SAFE.split(text)
 
 
-def _cut(text: str) -> tuple[str, list[str]]:
-    """The same cuts for most texts at less cost: the text is the first part and
-    then, each after a blank, the others.  Where blanks and line feeds do not
-    stand alone between words, the units follow the first part without blanks."""
-    if _odd(text) or "\1" in text:
-        return text, []
-    if text[:1] in ("", " ") or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
-        return "", ["\1" + u for u in _UNIT.findall(text)]
-    first, *rest = text.split(" ")
-    return first, rest
+def _even(text: str) -> bool:
+    """Whether single blanks, and line feeds away from them, are its only white space
+    and stand between words: its units are then its parts between blanks."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or "\1" in text:
+        return False
+    # A search for each such character is much faster than a regular expression's walk.
+    return not any(c in text for c in _OTHER_SPACES)
+
+
+def _key(unit: str) -> str:
+    """Units after a blank are known by what follows it, others with \1 before."""
+    return unit[1:] if unit[:1] == " " and unit[1:2] != "\1" else "\1" + unit
 
 
 class _Memory(dict):
-    """Ids of units; those it lacks are taken from the generation before or noted."""
+    """Ids (bytes) of units by their keys, those it lacked from the generation before."""
 
-    def __init__(self, old: dict):
-        self.old, self.new = old, []
+    def __init__(self, coder: UnitEncoder, old: dict):
+        self.coder, self.old = coder, old
 
     def __missing__(self, key: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
-            self.new.append(key)
-            return b""
-        self[key] = ids
+            unit = key[1:] if key[:1] == "\1" else " " + key
+            parts = _SAFE.split(unit) if "\n" in unit or " " in unit[1:] else ()
+            if len(parts) > 1:
+                return b"".join([self[_key(p)] for p in parts])
+            core = unit.rstrip(_MARKS)
+            if core != unit and core[-1:].isalnum() and core[-1] < _LATIN:
+                ids = self[_key(core)] + self["\1" + unit[len(core) :]]
+            else:
+                ids = self.coder.encode(unit)
+        if len(key) <= _LONG and len(self) < 2 * self.coder.most:
+            self[key] = ids
         return ids
 
 
 class UnitEncoder:
-    """encode_many(list of str) -> list of id sequences, behind a memory of units
-    in two generations: a full one becomes the old one, and the one before goes."""
+    """Ids of texts behind a memory of units in two generations: a full one becomes the
+    old one, and the one before goes.  one(str) gives the ids of any text, and
+    word(str), if given, those of a word of Latin letters, with or without a blank."""
 
-    def __init__(self, encode_many, dtype, most: int = 350_000):
-        self.encode_many, self.dtype, self.most = encode_many, np.dtype(dtype), most
-        self.memory = _Memory({})
+    def __init__(self, one, dtype, word=None, most: int = 350_000):
+        self.one, self.word, self.dtype, self.most = one, word or one, np.dtype(dtype), most
+        self.memory = _Memory(self, {})
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
 
-    def _learn(self) -> dict:
-        """Encode the units noted as new; those too long to remember are returned."""
-        new, long = list(dict.fromkeys(self.memory.new)), {}
-        self.memory.new.clear()
-        many = [k[1:] if k[:1] == "\1" else " " + k for k in new]
-        for k, ids in zip(new, self.encode_many(many), strict=True):
-            (self.memory if len(k) <= _LONG else long)[k] = array(self.code, ids).tobytes()
-        return long
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian integers of the dtype."""
+    def encode(self, unit: str) -> bytes:
+        letters = unit[1:] if unit[:1] == " " else unit
+        single = letters.isalpha() and (letters.isascii() or max(letters) < _LATIN)
+        return array(self.code, self.word(unit) if single else self.one(unit)).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        """Its ids as little-endian integers of the dtype."""
         if len(self.memory) > self.most:
             full, self.memory.old = self.memory, {}
-            self.memory = _Memory(full)
-        find, new = self.memory.__getitem__, self.memory.new
-        out, again = [], []
-        for i, text in enumerate(texts):
-            first, rest = _cut(text)
-            before = len(new)
-            out.append(find("\1" + first) + b"".join(map(find, rest)))
-            if len(new) > before:
-                again.append((i, first, rest))
-        if again:
-            long = self._learn()
-            known = (lambda k: long[k] if k in long else find(k)) if long else find
-            for i, first, rest in again:
-                out[i] = known("\1" + first) + b"".join(map(known, rest))
-        return out
+            self.memory = _Memory(self, full)
+        find = self.memory.__getitem__
+        if _even(text):
+            first, *rest = text.split(" ")
+            return find("\1" + first) + b"".join(map(find, rest))
+        return b"".join([find(_key(u)) for u in _SAFE.split(text)])
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -118,11 +116,12 @@ _LOADED: dict = {}
 
 
 def tiktoken_encoding(path: str, pattern: str):
-    """The encoding of a local rank file, once for each worker."""
+    """The encoding of a local rank file and its coder of units, once for each worker."""
     if (path, pattern) not in _LOADED:
         import tiktoken
 
-        _LOADED[path, pattern] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        enc = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        _LOADED[path, pattern] = enc, UnitEncoder(enc.encode_ordinary, "<i4")
     return _LOADED[path, pattern]
 
 
@@ -135,12 +134,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        enc = tiktoken_encoding(path, pattern)
-        coder = UnitEncoder(lambda many: [enc.encode_ordinary(u) for u in many], "<i4")
+        enc, coder = tiktoken_encoding(path, pattern)
         for rb in batches:
             raw = rb.column(1).to_pylist()
             for a, b in slices(raw, 4_000_000):
-                found = coder([t.decode("utf-8", "replace") for t in raw[a:b]])
+                found = [coder(t.decode("utf-8", "replace")) for t in raw[a:b]]
                 sizes = np.fromiter(map(len, found), np.int64, b - a) // 4
                 flat = np.frombuffer(b"".join(found), "<i4")
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -160,7 +158,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_column: str
     kind = encoded.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        enc = tiktoken_encoding(path, pattern)
+        enc, _ = tiktoken_encoding(path, pattern)
         for rb in batches:
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([enc.decode_bytes(x or []) for x in rb.column(1).to_pylist()], pa.binary())], names=[id_column, "decoded"])
 

@@ -4,9 +4,9 @@ Documents are put in ascending order of doc_id (null ids first, ties by the
 text), each is encoded and ended by an end id, and each task writes the run of
 ids that it holds as equal-length sequences: batches of `rows` sequences of
 `length` ids and of a mask (true: a real id, false: padding after the last id of
-a file).  Every batch but the last of a file has the same size, so a mapped file
-gives any sequence without copying.  Ids are 16 bits wide where the vocabulary
-allows, else 32.
+a file; a bit each).  Every batch but the last of a file has the same size, so a
+mapped file gives any sequence and its mask without copying.  Ids are 16 bits wide
+where the vocabulary allows, else 32.
 
 A file is closed when it holds `file_ids` ids, so its size does not follow the
 size of a task.  Every attempt of a task writes files of its own names; the index
@@ -21,6 +21,7 @@ gives no files and an empty index.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -32,15 +33,45 @@ from .bpe import UnitEncoder
 from .common import materialize, prepare, shared_dir, slices, text_bytes
 
 _LOADED: dict = {}
+#: The character that stands for each byte in a byte-level vocabulary, by number: a
+#: printable Latin-1 character for itself, the others in order from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
-def library_tokenizer(path: str):
-    if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+class TextEncoder:
+    """The ids of whole texts as the tokenizers library gives them, as bytes.  Strings
+    of added tokens (an end mark in a text) are those tokens; between them, texts are
+    encoded by units."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-        _LOADED[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = tok = Tokenizer.from_file(path)
+        self.dtype = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        added = tok.get_added_tokens_decoder()
+        self.added = {x.content: i for i, x in added.items()}
+        self.plain = not any(x.single_word or x.lstrip or x.rstrip or x.normalized for x in added.values())
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        model = tok.model
+        whole = lambda u: tok.encode(u, add_special_tokens=False).ids
+        word = lambda u: [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        self.units = UnitEncoder(whole, self.dtype, word)
+
+    def __call__(self, text: str) -> bytes:
+        if not any(x in text for x in self.added):
+            return self.units(text)
+        if not self.plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        one = {x: np.array([i], self.dtype).tobytes() for x, i in self.added.items()}
+        return b"".join([one[x] if x in one else self.units(x) for x in self.split.split(text)])
+
+
+def text_encoder(path: str) -> TextEncoder:
+    """The encoder of a tokenizer file, once for each worker."""
+    if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _LOADED[path] = TextEncoder(path)
     return _LOADED[path]
 
 
@@ -96,8 +127,9 @@ class SequenceWriter:
 
 
 class SequenceFile:
-    """Random access to the sequences of one stream file; a local file is mapped
-    and its values are never copied."""
+    """Random access to the sequences and masks of one stream file.  All batches but
+    the last have one size, so each is found by its number and read alone; those of a
+    local file are mapped, and nothing in them is copied."""
 
     def __init__(self, uri: str):
         import pyarrow as pa
@@ -105,24 +137,47 @@ class SequenceFile:
 
         where, path = fs.FileSystem.from_uri(uri)
         self.source = pa.memory_map(path) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path)
-        self.batches = list(pa.ipc.open_stream(self.source))
-        self.length = self.batches[0].schema.field("ids").type.list_size if self.batches else 0
-        self.rows = self.batches[0].num_rows if self.batches else 0
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.length = self.schema.field("ids").type.list_size
+        self.first, self.at, self.now = self.source.tell(), -1, None
+        left = self.source.size() - self.first - 8  # the mark of the stream's end
+        self.size = self.rows = self.n = 0
+        if left > 0:
+            self.rows = self._batch(0).num_rows
+            self.size = self.source.tell() - self.first
+            whole, rest = divmod(left, self.size)
+            self.n = whole * self.rows + (self._batch(whole).num_rows if rest else 0)
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return self.n
+
+    def _batch(self, b: int):
+        if b != self.at:
+            import pyarrow as pa
+
+            self.source.seek(self.first + b * self.size)
+            self.at, self.now = b, pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        return self.now
 
     def _values(self, b: int) -> np.ndarray:
-        return self.batches[b].column(0).flatten().to_numpy(zero_copy_only=True)
+        return self._batch(b).column(0).flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> np.ndarray:
         """The ids of sequence i: a view into the file."""
         b, r = divmod(i, self.rows)
         return self._values(b)[r * self.length : (r + 1) * self.length]
 
-    def mask(self, i: int) -> np.ndarray:
+    def mask(self, i: int):
+        """The mask of sequence i, an Arrow array of booleans: a view into the file."""
+        b, r = divmod(i, self.rows)
+        return self._batch(b).column(1).flatten().slice(r * self.length, self.length)
+
+    def mask_bits(self, i: int) -> np.ndarray:
+        """The same as packed bits, least first: a view into the file, for lengths
+        that are multiples of eight."""
         b, r = divmod(i, self.rows)
-        return self.batches[b].column(1).flatten().slice(r * self.length, self.length).to_numpy(zero_copy_only=False)
+        bits = np.frombuffer(self._batch(b).column(1).flatten().buffers()[1], np.uint8)
+        return bits[r * self.length // 8 : (r + 1) * self.length // 8]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from a place in the file's run of ids."""
@@ -135,7 +190,7 @@ class SequenceFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
     def close(self) -> None:
-        self.batches = []
+        self.now = None
         self.source.close()
 
 
@@ -154,16 +209,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tok = library_tokenizer(tokenizer_path)
-        dtype = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        coder = text_encoder(tokenizer_path)
+        dtype = coder.dtype
         end = np.array([end_id], dtype).tobytes()
-        coder = UnitEncoder(lambda many: [e.ids for e in tok.encode_batch_fast(many, add_special_tokens=False)], dtype)
         out, file_no, uri = None, -1, ""
         for rb in batches:
             raw = rb.column(1).to_pylist()
             for a, b in slices(raw, 4_000_000):
                 files, nos, starts, counts = [], [], [], []
-                for ids in coder([t.decode("utf-8", "replace") for t in raw[a:b]]):
+                for ids in (coder(t.decode("utf-8", "replace")) for t in raw[a:b]):
                     if out is None or out.n_ids >= file_ids:
                         if out:
                             out.close()
