@@ -4,18 +4,22 @@ Every window of 50 words is represented by its *anchor*: the least hash among it
 runs of ten words.  Equal windows have equal anchors, and a text has about one
 anchor in twenty words, each owning the consecutive windows that it represents.
 
-First pass: each task counts its documents' anchors in a count-min sketch; the
-sketches are merged in a tree and never underestimate, in how many documents the
-windows of an anchor occur.  Second pass: anchors estimated to occur once are
-dropped with all their windows; the others give one row with their windows'
-hashes, grouped exactly by content.  Rows of equal contexts collapse first, so
-copies cost a row each, and single windows are compared only where one anchor has
-several contexts.  No window that occurs twice is lost, since its anchor's
-estimate is two at least; the sketch only decides how much is grouped.
-
-The sketch has a fixed size (`cells` counters a row, two rows, one byte each), so
-it may be broadcast at any input size; beyond some 100 million anchors it fills up
-and lets more anchors through, which costs time and loses nothing.
+First pass: each task counts its documents' anchors in a count-min sketch of two
+rows; the sketches are merged in a tree and never underestimate in how many documents
+a window occurs, which is in at most as many as its anchor.  Counters end at two, all
+that is asked of them.  Second pass: anchors estimated to occur once are dropped with
+all their windows; the others give one row with their windows' hashes, grouped exactly
+by content.  Rows of equal contexts collapse first, so copies cost a row each, and
+single windows are compared only where one anchor has several contexts.  No window
+that occurs twice is lost, since its anchor's estimate is two at least; the sketch
+only decides how much is grouped.
+
+A task's sketch is a list of its cells on the finest grid; once all anchors are
+counted, merging folds the grid to 4 to 8 cells an anchor, so the share of anchors let
+through for nothing (some 5 in 100) does not follow the input.  The grid ends at 2^28
+cells a row, 64 MB of bits in all, which bounds what is broadcast; beyond some 100
+million anchors (14 GB of text) it fills up and lets more through, which costs time in
+proportion to the input and loses nothing.
 
 Defined results: null and empty texts have no words; a document is never compared
 with one of the same id; rows with a null id neither remove nor are removed;
@@ -36,7 +40,10 @@ from .common import WordHash, discard, hashed_words, materialize, merge_blocks,
 
 WINDOW, GRAM = 50, 10
 SPAN = WINDOW - GRAM + 1  # runs of ten words in a window
-CELLS, BLOCKS = 1 << 23, 64
+#: Bits of a cell's number on the finest and coarsest grid; blocks that a row is merged in.
+GRID, LEAST_GRID, BLOCKS = 28, 16, 64
+#: Rows of one anchor are dealt to so many tasks where they meet the anchor alone.
+SALTS = 16
 
 
 def anchors(h: np.ndarray, ends: np.ndarray):
@@ -83,57 +90,99 @@ def window_hashes(h: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.nda
 
 
 def _cells(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Its cell in either row of the finest grid."""
     x = mix(anchor + np.uint64(0x1234567))
-    return (x % np.uint64(CELLS)).astype(np.int64), ((x >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(CELLS)).astype(np.int64) + CELLS
+    top = np.uint64(64 - GRID)
+    return (x >> top).astype(np.int64), (mix(x + np.uint64(0x9E3779B9)) >> top).astype(np.int64)
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """The merged count-min sketch of all documents' anchors (uint8, saturating)."""
-    import pyarrow as pa
+def _sparse(cells: np.ndarray) -> bytes:
+    """Sorted cells, each as often as it was counted, up to two."""
+    return b"s" + zlib.compress(np.diff(cells, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _bits(blob: bytes, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed bits of a block's cells counted at least once, and twice."""
+    raw = np.frombuffer(zlib.decompress(memoryview(blob)[1:]), "<u4" if blob[:1] == b"s" else np.uint8)
+    if blob[:1] == b"d":
+        return raw[: len(raw) // 2], raw[len(raw) // 2 :]
+    cells = np.cumsum(raw, dtype=np.int64) >> shift
+    once, twice = np.zeros((2, (1 << GRID) // BLOCKS >> shift), bool)
+    once[cells] = True
+    twice[cells[1:][cells[1:] == cells[:-1]]] = True
+    return np.packbits(once), np.packbits(twice)
+
+
+class Sketch:
+    """Packed bits of the cells counted twice, of both rows, on a grid folded by shift."""
 
-    size = 2 * CELLS // BLOCKS
+    def __init__(self, bits: np.ndarray, shift: int):
+        self.bits, self.shift = bits, shift
+
+    def repeated(self, anchor: np.ndarray) -> np.ndarray:
+        on = np.ones(len(anchor), bool)
+        for row, cells in zip(self.bits, _cells(anchor), strict=True):
+            cells = cells >> self.shift
+            on &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1) > 0
+        return on
+
+
+def sketch(docs: DataFrame) -> Sketch:
+    """The merged count-min sketch of all documents' anchors."""
+    import pyarrow as pa
 
     def run(batches):
         from pyspark import TaskContext
 
-        total = np.zeros(2 * CELLS, np.uint8)
-        memory = WordHash()
+        memory, held = WordHash(), []
         for rb in batches:
             raw = rb.column(0).to_pylist()
             for a, b in slices(raw, 4_000_000):
                 h, ends = hashed_words(raw[a:b], memory)
                 g, text, _, _ = anchors(h, ends)
                 once = np.unique(g ^ mix(text.astype(np.uint64) + np.uint64(9)), return_index=True)[1]
-                for cells in _cells(g[once]):
-                    which, n = np.unique(cells, return_counts=True)
-                    total[which] = np.minimum(total[which].astype(np.int64) + n, 255)
-        part = TaskContext.get().partitionId()
-        blobs = [zlib.compress(total[i * size : (i + 1) * size].tobytes(), 1) for i in range(BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array([part] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block", "data"])
+                held.append(g[once])
+        part, block, data = TaskContext.get().partitionId(), [], []
+        found = np.concatenate([*held, np.zeros(0, np.uint64)])
+        for row, cells in enumerate(_cells(found)):
+            cells.sort()
+            cells = cells[np.concatenate([np.ones(min(len(cells), 2), bool), cells[2:] != cells[:-2]])]
+            cuts = np.searchsorted(cells, np.arange(BLOCKS + 1) * ((1 << GRID) // BLOCKS))
+            for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                block.append(row * BLOCKS + i)
+                data.append(_sparse(cells[x:y] - i * ((1 << GRID) // BLOCKS)))
+        count = np.zeros(len(block), np.int64)
+        count[0] = len(found)
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(count), pa.array(data, pa.binary())], names=["part", "block", "n", "data"])
+
+    parts = materialize(docs.select(text_bytes(docs).alias("_text")).where(docs["doc_id"].isNotNull()).mapInArrow(run, "part int, block int, n long, data binary"))
+    count = parts.agg(F.sum("n")).first()[0] or 0
+    shift = GRID - min(GRID, max(LEAST_GRID, int(4 * count).bit_length()))
 
     def merge(blobs):
-        total = np.zeros(size, np.uint8)
+        once = twice = None
         for x in blobs:
-            own = np.frombuffer(zlib.decompress(x), np.uint8)
-            total = np.where(own > 255 - total, np.uint8(255), total + own)
-        return zlib.compress(np.minimum(total, 255).tobytes(), 1)
-
-    parts = materialize(docs.select(text_bytes(docs).alias("_text")).where(docs["doc_id"].isNotNull()).mapInArrow(run, "part int, block int, data binary"))
-    out = np.zeros(2 * CELLS, np.uint8)
-    for r in merge_blocks(parts, merge).toLocalIterator():  # BLOCKS rows
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(zlib.decompress(r.data), np.uint8)
+            one, two = _bits(x, shift)
+            once, twice = (one, two) if once is None else (once | one, twice | two | (once & one))
+        return b"d" + zlib.compress(np.concatenate([once, twice]).tobytes(), 1)
+
+    size = 1 << (GRID - shift - 3)
+    bits = np.zeros((2, size), np.uint8)
+    for r in merge_blocks(parts.drop("n"), merge).toLocalIterator():  # 2 * BLOCKS rows
+        twice = _bits(r.data, shift)[1]
+        at = r.block % BLOCKS * (size // BLOCKS)
+        bits[r.block // BLOCKS, at : at + len(twice)] = twice
     discard(parts)
-    return out
+    return Sketch(bits, shift)
 
 
-def _occurrences(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def _occurrences(docs: DataFrame, counts: Sketch) -> DataFrame:
     """A row for each run of windows whose anchor is estimated to be in several
     documents: anchor, ctx (16 bytes: all its words), doc_id, rk, first, n, wins."""
     import pyarrow as pa
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # One bit per anchor and row: whether it is seen twice.
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(counts >= 2))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # at most 64 MB
 
     def run(batches):
         many, memory = shared.value, WordHash()
@@ -142,9 +191,7 @@ def _occurrences(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             for a, b in slices(raw, 4_000_000):
                 h, ends = hashed_words(raw[a:b], memory)
                 g, text, start, n = anchors(h, ends)
-                on = np.ones(len(g), bool)
-                for cells in _cells(g):
-                    on &= (many[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1) > 0
+                on = many.repeated(g)
                 g, text, start, n = g[on], text[on], start[on], n[on]
                 wins = window_hashes(h, start, n) if len(g) else np.zeros(0, np.int64)
                 of = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -165,9 +212,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     ctx = materialize(occ.groupBy("ctx").agg(F.first("anchor").alias("anchor"), F.first("wins").alias("wins"), F.min("doc_id").cast("long").alias("least"), F.max("doc_id").cast("long").alias("most")).withColumn("tail", F.expr("substring(ctx, 1, 8)")))
     places = materialize(occ.select("ctx", "doc_id", "rk", "first", "n"))
     discard(occ)
-    several = ctx.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    several = ctx.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    # A common anchor with many contexts is met by each of its salts.
+    several = several.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = ctx.withColumn("salt", F.expr(f"pmod(hash(ctx), {SALTS})"))
     # An anchor and half of a context's hash name it in the rows of single windows.
-    shared = materialize(ctx.join(several, "anchor", "left_semi").select("anchor", "tail", "least", "wins"))
+    shared = materialize(salted.join(several, ["anchor", "salt"], "left_semi").select("anchor", "tail", "least", "wins"))
     each = shared.select("anchor", "tail", "least", F.posexplode("wins").alias("i", "win"))
     first = each.groupBy("anchor", "win").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("anchor", "win", "first")
     # The windows that an earlier document has in another context.
