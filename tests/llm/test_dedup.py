@@ -53,6 +53,29 @@ def test_substring_brute(spark):
     assert substring_dedup.op6(empty_docs(spark)).count() == 0
 
 
+def test_sketch_loses_no_repeated_anchor(spark):
+    """Whatever the grid, an anchor of two documents is estimated to repeat; few
+    others are."""
+    rng = random.Random(8)
+    common = [" ".join(f"c{p}x{rng.random()}" for _ in range(60)) for p in range(40)]
+    texts = [" ".join(f"w{rng.random()}" for _ in range(120)) + " " + common[i % 40] for i in range(120)]
+    h, ends = substring_dedup.hashed_words([t.encode() for t in texts], WordHash())
+    g, text, _, _ = substring_dedup.anchors(h, ends)
+    in_docs = defaultdict(set)
+    for x, t in zip(g, text, strict=True):
+        in_docs[int(x)].add(int(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    least = substring_dedup.LEAST_GRID
+    try:
+        for substring_dedup.LEAST_GRID in (least, 6):
+            s = substring_dedup.sketch(df)
+            said = dict(zip(map(int, g), s.repeated(g), strict=True))
+            assert all(said[x] for x, d in in_docs.items() if len(d) > 1)
+            assert sum(said[x] for x, d in in_docs.items() if len(d) == 1) < len(in_docs) / 8
+    finally:
+        substring_dedup.LEAST_GRID = least
+
+
 # --- line dedup ---
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
@@ -223,6 +246,14 @@ def test_near_odd(spark):
     assert near_dups.near_duplicate_classes(empty_docs(spark)).count() == 0 and near_dups.keep_representatives(empty_docs(spark)).count() == 0
 
 
+def test_near_names_clash(spark):
+    names = ["own", "_own", "__own", "salt", "_salt", "component", "class_id", "_id", "_node", "bands"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d e f g", "a b c d e f g", "other words", ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = near_dups.keep_representatives(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], *rows[2:]]
+
+
 def test_one_representative_without_ids(spark):
     """Unlike-worded near copies that all have a null id, or the same one."""
     base = {i: [f"{i}w{j}" for j in range(200)] for i in "abc"}

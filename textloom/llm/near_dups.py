@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, materialize, mix, prepare, rolling, slices, starts_within, hashed_words, text_bytes
+from .common import WordHash, free_names, materialize, mix, prepare, rolling, slices, starts_within, hashed_words, text_bytes
 from .components import components
 
 WORDS, PLACES, BANDS, ROWS, LEAST = 5, 125, 25, 5, 0.8
@@ -375,7 +375,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
         return texts.map(lambda t: node_of((t or "").encode()))
 
     empty = node_of(b"")
-    rows = docs.withColumn("_own", node(docs["text"]))
-    kept = rows.join(classes, rows["doc_id"].eqNullSafe(classes["_id"]) & (rows["_own"] == classes["_node"]), "left_semi")
-    salt = F.when(kept["_own"] == F.lit(empty), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return kept.withColumn("_salt", salt).dropDuplicates(["doc_id", "_own", "_salt"]).drop("_own", "_salt")
+    own, salt = free_names(docs, "own", "salt")
+    rows = docs.withColumn(own, node(docs["text"]))
+    kept = rows.join(classes, rows["doc_id"].eqNullSafe(classes["_id"]) & (rows[own] == classes["_node"]), "left_semi")
+    kept = kept.withColumn(salt, F.when(F.col(own) == F.lit(empty), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return kept.dropDuplicates(["doc_id", own, salt]).drop(own, salt)
