@@ -66,15 +66,19 @@ class _Memory(dict):
     def __missing__(self, key: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
-            unit = key[1:] if key[:1] == "\1" else " " + key
-            parts = _SAFE.split(unit) if "\n" in unit or " " in unit[1:] else ()
-            if len(parts) > 1:
-                return b"".join([self[_key(p)] for p in parts])
-            core = unit.rstrip(_MARKS)
-            if core != unit and core[-1:].isalnum() and core[-1] < _LATIN:
-                ids = self[_key(core)] + self["\1" + unit[len(core) :]]
+            coder = self.coder
+            if key.isalpha() and (key.isascii() or max(key) < _LATIN):
+                ids = array(coder.code, coder.word(" " + key)).tobytes()
             else:
-                ids = self.coder.encode(unit)
+                unit = key[1:] if key[:1] == "\1" else " " + key
+                parts = _SAFE.split(unit) if "\n" in unit or " " in unit[1:] else ()
+                if len(parts) > 1:
+                    return b"".join([self[_key(p)] for p in parts])
+                core = unit.rstrip(_MARKS)
+                if core != unit and core[-1:].isalnum() and core[-1] < _LATIN:
+                    ids = self[_key(core)] + self["\1" + unit[len(core) :]]
+                else:
+                    ids = coder.encode(unit)
         if len(key) <= _LONG and len(self) < 2 * self.coder.most:
             self[key] = ids
         return ids
@@ -82,10 +86,11 @@ class _Memory(dict):
 
 class UnitEncoder:
     """Ids of texts behind a memory of units in two generations: a full one becomes the
-    old one, and the one before goes.  one(str) gives the ids of any text, and
-    word(str), if given, those of a word of Latin letters, with or without a blank."""
+    old one, and the one before goes.  A unit takes some 200 bytes.  one(str) gives the
+    ids of any text, and word(str), if given, those of a word of Latin letters, with or
+    without a blank."""
 
-    def __init__(self, one, dtype, word=None, most: int = 350_000):
+    def __init__(self, one, dtype, word=None, most: int = 600_000):
         self.one, self.word, self.dtype, self.most = one, word or one, np.dtype(dtype), most
         self.memory = _Memory(self, {})
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]

@@ -36,7 +36,8 @@ _LOADED: dict = {}
 #: The character that stands for each byte in a byte-level vocabulary, by number: a
 #: printable Latin-1 character for itself, the others in order from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_OTHERS = sorted(set(range(256)) - set(_PRINTABLE))
+_BYTE_CHARS = "".join(chr(b if b in _PRINTABLE else 256 + _OTHERS.index(b)) for b in range(256))
 
 
 class TextEncoder:
@@ -53,10 +54,14 @@ class TextEncoder:
         self.added = {x.content: i for i, x in added.items()}
         self.plain = not any(x.single_word or x.lstrip or x.rstrip or x.normalized for x in added.values())
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        model = tok.model
-        whole = lambda u: tok.encode(u, add_special_tokens=False).ids
-        word = lambda u: [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(_BYTE_CHARS))]
-        self.units = UnitEncoder(whole, self.dtype, word)
+        tokenize, blank = tok.model.tokenize, _BYTE_CHARS[32]
+
+        def word(u: str) -> list[int]:
+            if u.isascii():
+                return [t.id for t in tokenize(blank + u[1:] if u[0] == " " else u)]
+            return [t.id for t in tokenize(u.encode().decode("latin-1").translate(_BYTE_CHARS))]
+
+        self.units = UnitEncoder(lambda u: tok.encode(u, add_special_tokens=False).ids, self.dtype, word)
 
     def __call__(self, text: str) -> bytes:
         if not any(x in text for x in self.added):
