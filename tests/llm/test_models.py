@@ -114,6 +114,114 @@ def test_word_vectors_are_sums_over_neighbours(spark):
     assert ((np.abs(got).sum(1) > 0) == (np.abs(total).sum(1) > 0)).all()
 
 
+def test_word_vectors_brute(spark):
+    """The whole table by definition: sums over neighbours, length one, centred by the
+    logarithm of the sums' sizes, length one again."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta,", "Beta", "beta", "GAMMA!", "12", "--"]) for _ in range(rng.randint(0, 30))) for _ in range(25)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    place, sign = quality_model.index_vectors()
+    total = np.zeros((quality_model.BUCKETS, quality_model.WIDTH))
+    for t in texts:
+        units, last = [], None
+        for w in (t or "").encode().split():
+            shape, word = quality_model.token_units(w)
+            units += [quality_model._REPEAT if w == last else shape, word]
+            last = w
+        for x, y in zip(units, units[1:]):
+            for a, b in ((x, y), (y, x)):
+                for k in range(quality_model.NONZERO):
+                    total[a, place[b, k]] += sign[b, k]
+    size = np.linalg.norm(total, axis=1)
+    used = size > 0
+    want = total / np.maximum(size, 1e-9)[:, None]
+    weight = np.log1p(size[used])
+    want[used] -= (want[used] * weight[:, None]).sum(0) / weight.sum()
+    want[used] /= np.maximum(np.linalg.norm(want[used], axis=1), 1e-9)[:, None]
+    vectors = quality_model.word_vectors(df)
+    assert used.sum() > 10 and np.allclose(vectors, want, atol=1e-5)
+    pooled = {r.doc_id: r.pooled for r in quality_model.pool(df, vectors).collect()}
+    for i, t in enumerate(texts):
+        own, last = [], None
+        for w in (t or "").encode().split():
+            shape, word = quality_model.token_units(w)
+            own.append((quality_model._REPEAT if w == last else shape, word))
+            last = w
+        parts = []
+        for k in (0, 1):
+            v = np.array([vectors[u[k]] for u in own]).reshape(-1, quality_model.WIDTH)
+            parts += [v.mean(0), v.std(0)] if len(v) else [np.zeros(quality_model.WIDTH)] * 2
+        assert np.allclose(pooled[i], np.concatenate(parts), atol=1e-4)
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 6))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    net = quality_model.Network(x[:3000], y[:3000])
+    p = net(x[3000:])
+    for lo in (0.0, 0.25, 0.5, 0.75):
+        on = (p >= lo) & (p < lo + 0.25)
+        assert abs(p[on].mean() - y[3000:][on].mean()) < 0.1
+
+
+def test_paths_by_enumeration():
+    """Posteriors of short sequences from the weights of every path."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 4, 6):
+        e, t = rng.normal(size=(size, 3)), rng.normal(size=(3, 3))
+        gamma, pairs, total = np.zeros((size, 3)), np.zeros((3, 3)), 0.0
+        for path in itertools.product(range(3), repeat=size):
+            # The chain starts from a state drawn evenly, whose move to the first word counts.
+            start = np.exp(t[:, path[0]]).sum()
+            w = start * np.exp(sum(e[i, k] for i, k in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:])))
+            total += w
+            for i, k in enumerate(path):
+                gamma[i, k] += w
+            for a, b in zip(path, path[1:]):
+                pairs[a, b] += w
+        got, xi = language._posteriors(e[None], t)
+        assert np.allclose(got[0], gamma / total) and np.allclose(xi, pairs / total)
+        bulk = language.bulk_posteriors(e.astype(np.float32), np.array([0, size]), t.astype(np.float32), chunk=2)
+        assert np.allclose(bulk, gamma / total, atol=1e-4)
+
+
+def test_sample_has_every_language(spark):
+    rows = [(i, f"text number {i} " * 50, f"l{i % 9}") for i in range(90)] + [(5, "another text of the same id", "l5"), (None, "no id", "l0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(df, F.lit(True), most=12, most_chars=10).langs == [f"l{i}" for i in range(9)]
+    assert language.fit(df, F.col("lang") == "l3").langs == ["l3"]
+
+
+def test_ordinal_goes_down_the_likelihood():
+    """The fitted model beats its neighbours in the penalised likelihood written out."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((300, 5)) < 0.4) * rng.normal(1, 0.2, (300, 5))
+    grade = np.clip(np.digitize(x @ [2, 1, -1, 0.5, 0] + rng.logistic(size=300), [0.5, 1.5, 2.5]), 0, 3)
+    row, col = np.nonzero(x)
+    model = toxicity.Ordinal(5, 4)
+    model.fit(row, col, x[row, col], grade, steps=3000, rate=0.02)
+
+    def loss(w, theta):
+        above = np.concatenate([np.ones((300, 1)), 1 / (1 + np.exp(-(x @ w)[:, None] + theta)), np.zeros((300, 1))], 1)
+        return -np.log(above[np.arange(300), grade] - above[np.arange(300), grade + 1]).mean() + 1e-4 * (w * w).sum()
+
+    best = loss(model.w, model.theta)
+    assert (np.diff(model.theta) > 0).all() and np.allclose(model.above(x @ model.w), 1 / (1 + np.exp(-(x @ model.w)[:, None] + model.theta)))
+    for i in range(5):
+        for d in (-0.05, 0.05):
+            w = model.w.copy()
+            w[i] += d
+            assert loss(w, model.theta) > best - 1e-6
+    for j in range(3):
+        for d in (-0.05, 0.05):
+            theta = model.theta.copy()
+            theta[j] += d
+            assert loss(model.w, theta) > best - 1e-6
+
+
 # --- decontamination ---
 def best_distance(item, text):
     """The least edit distance of the item to any run of the text."""

@@ -51,6 +51,43 @@ def test_fences_follow_the_group(spark):
     assert not got[1000].kept and not got[1001].kept
 
 
+def test_kept_brute(spark, sf):
+    """The whole verdict from exact quartiles; only rows whose rate lies between the
+    fences of quartiles a rank error away may differ."""
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rates = {}
+    for i, t, lang, source in docs:
+        n, chars, symbols, dup, repeat, failed = base(t)
+        lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        rates[i] = (failed, lang, source, {"word_len": chars / max(n, 1), "symbol_rate": symbols / max(chars, 1), "dup_line_rate": dup / max(lines, 1), "repeat_rate": repeat / max(n, 1)})
+    fine, by_lang, every = {}, {}, []
+    for failed, lang, source, r in rates.values():
+        if not failed:
+            fine.setdefault((lang, source), []).append(r)
+            by_lang.setdefault(lang, []).append(r)
+            every.append(r)
+    doubtful = 0
+    got = {r.doc_id: r for r in QUERIES["op8_quality_rules"](spark, sf).collect()}
+    for i, (failed, lang, source, r) in rates.items():
+        group = next(g for g in (fine.get((lang, source), []), by_lang.get(lang, []), every) if len(g) >= 30 or g is every)
+        verdicts = set()
+        for shift in (-0.02, 0.0, 0.02):  # rank error of a sketch with k = 200
+            out = []
+            for name, (floor, both) in quality_rules.RATES.items():
+                own = sorted(x[name] for x in group)
+                q1, q3 = (own[min(len(own) - 1, max(0, int(np.ceil((q + shift) * len(own))) - 1))] for q in (0.25, 0.75))
+                width = 4.0 * max(q3 - q1, floor)
+                if r[name] > q3 + width or both and r[name] < q1 - width:
+                    out.append(name)
+            verdicts.add(tuple(out))
+        if len(verdicts) > 1:
+            doubtful += 1
+            continue
+        assert tuple(got[i].failed) == verdicts.pop() or failed
+        assert got[i].kept == (not failed and not got[i].failed)
+    assert doubtful <= len(docs) // 20
+
+
 def test_each_fence_alone_rejects(spark):
     """Rows that pass the base, each beyond one fence of its group only."""
     rng = np.random.default_rng(5)

@@ -139,11 +139,12 @@ def hashed_words(texts: list[bytes], memory: WordHash) -> tuple[np.ndarray, np.n
     return np.fromiter(map(memory.__getitem__, flat), np.uint64, len(flat)), np.array(ends, np.int64)
 
 
-def slices(texts: list[bytes], most: int = 6_000_000):
-    """Index ranges of consecutive texts with about so many bytes together."""
+def slices(texts: list[bytes], most: int = 6_000_000, rows: int = 50_000):
+    """Index ranges of consecutive texts with about so many bytes together, and no
+    more than so many rows."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+        if size and size + len(t) > most or i - start >= rows:
             yield start, i
             start, size = i, 0
         size += len(t)

@@ -180,8 +180,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     source = docs.select(docs[id_column], text_bytes(docs).alias("_text"))
     schema = f"`{id_column}` {kind}, item_id long, distance int, span_start int, span_end int"
 
-    def passing(matcher):
+    def passing(block):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # of at most block_chars
+
         def run(batches):
+            matcher = shared.value
             for rb in batches:
                 rows = [(i, item, d, a, b) for i, t in enumerate(rb.column(1).to_pylist()) for ids, d, a, b in matcher.find(t.decode("utf-8", "replace")) for item in ids]
                 of, *rest = zip(*rows, strict=True) if rows else ([], [], [], [], [])
@@ -200,9 +203,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 32) ->
     """The documents in which no item is found, all columns as they are."""
     prepare(docs.sparkSession)
 
-    def clean(matcher):
+    def clean(block):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # of at most block_chars
+
         @F.pandas_udf("boolean")
         def found_nothing(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            matcher = shared.value
             for s in texts:
                 yield pd.Series([not matcher.find(t) if t else True for t in s], dtype=bool)
 

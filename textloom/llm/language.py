@@ -318,18 +318,21 @@ class Predictor:
         return out
 
 
-def fit(docs: DataFrame, trainable, per_lang: int = 160, most_langs: int = 200) -> Model | None:
+def fit(docs: DataFrame, trainable, per_lang: int = 160, most: int = 32_000, most_chars: int = 2_000_000) -> Model | None:
     """Fit on the bounded sample of the rows of docs(doc_id, text, lang) where
-    `trainable` holds and lang is not null."""
+    `trainable` holds and lang is not null: per language the documents with the least
+    hash of their id, `per_lang` of them and no further ones once they have `most_chars`
+    characters; `most` in all, a document of each language before any second one.  Of
+    rows with one id and language, the text first in order counts."""
     prepare(docs.sparkSession)
     rows = docs.where(trainable & docs["lang"].isNotNull() & docs["text"].isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    chosen = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("key")).withColumn("rank", rank).where(F.col("rank") <= per_lang)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().limit(per_lang * most_langs).collect()]
-    if not ids:
-        return None
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
-    got = rows.select("doc_id", "text", "lang").join(wanted, "doc_id", "left_semi").limit(2 * per_lang * most_langs).collect()
+    order = Window.partitionBy("lang").orderBy("key", "doc_id")
+    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("key"), F.length("text").cast("long").alias("n"))
+    first = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+    chosen = first.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < most_chars)
+    wanted = F.broadcast(chosen.orderBy("rank", "lang").limit(most).select("lang", "doc_id").distinct())  # `most` rows
+    own = rows.select("doc_id", "text", "lang").join(wanted, ["doc_id", "lang"], "left_semi")
+    got = own.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # at most `most` rows
     got.sort(key=lambda r: (r.lang, xxhash.xxh64_intdigest(str(r.doc_id)), r.text))
     return train([(r.text, r.lang) for r in got])
 

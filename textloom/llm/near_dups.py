@@ -51,7 +51,7 @@ from .common import WordHash, free_names, materialize, mix, prepare, rolling, sl
 from .components import components
 
 WORDS, PLACES, BANDS, ROWS, LEAST = 5, 125, 25, 5, 0.8
-_EPS, _HOT = 1e-9, 64
+_EPS, _HOT, _DEAL = 1e-9, 64, 100
 
 
 def node_of(text: bytes) -> bytes:
@@ -278,10 +278,17 @@ def _off_core(open_: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def _pairs_on_core(off: DataFrame) -> DataFrame:
-    """u, v of different components whose common shingles may all be in the core."""
+    """u, v of different components whose common shingles may all be in the core.
+
+    Of a pivot with many nodes, one side is dealt to as many tasks as it has hundreds,
+    and the other goes to each of them: no task has more than `_DEAL` rows of a pivot on
+    one side."""
     live = materialize(_live(off.drop("rest")))
-    live = live.join(_mixed(live, "pivot"), "pivot", "left_semi")
-    side = lambda n, s: live.select("pivot", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "sim", "on", "total", "extra", "hot", "n_pivot", "miss")])
+    pivots = live.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    live = live.join(pivots.where("lo != hi").select("pivot", F.ceil(F.col("n") / _DEAL).alias("parts")), "pivot")
+    side = lambda n, s: live.select("pivot", "parts", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "sim", "on", "total", "extra", "hot", "n_pivot", "miss")])
+    left = side("u", "a").withColumn("part", F.pmod(F.xxhash64("u"), "parts")).drop("parts")
+    right = side("v", "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     p = F.least("on_a", F.col("on_b") + F.col("extra_a")) / F.col("total_a")
     q = F.least("on_b", F.col("on_a") + F.col("extra_b")) / F.col("total_b")
     near = F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - LEAST + _EPS
@@ -289,7 +296,7 @@ def _pairs_on_core(off: DataFrame) -> DataFrame:
     lost = F.aggregate(F.zip_with("miss_a", "miss_b", lambda x, y: F.greatest(x, y)), F.lit(0), lambda a, x: a + x)
     common = F.col("n_pivot_a") - lost + F.least("hot_a", "hot_b") + F.col("extra_a") + F.col("extra_b")
     enough = common + 1e-6 >= (F.col("total_a") + F.col("total_b")) / (1 + 1 / LEAST)
-    return side("u", "a").join(side("v", "b"), "pivot").where(F.expr("u < v and component_a != component_b") & near & (1 / p + 1 / q <= _SLACK) & enough).select("u", "v")
+    return left.join(right, ["pivot", "part"]).where(F.expr("u < v and component_a != component_b") & near & (1 / p + 1 / q <= _SLACK) & enough).select("u", "v")
 
 
 def _pairs_off_core(off: DataFrame) -> DataFrame:

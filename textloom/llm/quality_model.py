@@ -11,8 +11,9 @@ whatever the input's size.  A document is pooled to the mean and the spread of i
 units' vectors, centred and of length one.
 
 The network (tanh layer, logistic output) is fitted on at most `sample` labelled
-documents, the ones with the smallest hash of their id; a fifth of those is kept
-from it to fit the temperature.
+documents, the ones with the smallest hash of their id (of rows that share an id, the
+one with the largest pooled vector); a fifth of those is kept from it to fit the
+temperature.
 
 Defined results: null or empty texts pool to zeros and get the score of such;
 labels with a null are not used, several of a document count by their largest;
@@ -202,7 +203,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed=None, sample: int
 
     pooled = materialize(pool(docs, word_vectors(docs)))
     chosen = F.broadcast(labelled(docs, labels, "quality", allowed, sample))  # at most `sample` rows
-    got = pooled.join(chosen, "doc_id").select("doc_id", "pooled", "label").limit(2 * sample).collect()
+    # One row for each chosen id: of rows that share it, the largest vector.
+    got = pooled.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("pooled").alias("pooled"), F.max("label").alias("label")).collect()
     got.sort(key=lambda r: (r.doc_id, r.pooled))
     y = np.array([float(r.label > 0) for r in got])
     net = Network(np.array([r.pooled for r in got], np.float64), y) if len(set(y)) == 2 else None
