@@ -3,7 +3,8 @@
 import pytest
 
 from tests.oracle import compare
-from textloom.queries import MISSPELLED, ORACLE_SQL, QUERIES
+from textloom.queries import ORACLE_SQL, QUERIES
+from textloom.queries.text import MISSPELLED
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

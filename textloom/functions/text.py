@@ -6,6 +6,7 @@ out, since Java's plain word class and word boundary are ASCII.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -94,9 +95,27 @@ def char_bigrams(word: Column) -> Column:
 
 
 def first_position(doc_id: Column, pos: Column) -> Column:
-    """One long that orders places of the corpus (documents of up to 2^24 tokens,
-    ids below 2^39): a struct here would force a sort-based aggregation."""
-    return F.shiftleft(doc_id.cast("long"), 24).bitwiseOR(pos.cast("long"))
+    """One long that orders places of the corpus: documents of up to 2^24 tokens, ids
+    within 2^39 of 0; beyond that an error, not a wrong order.  A struct here would
+    force a sort-based aggregation."""
+    wide = (F.abs(doc_id) >= 1 << 39) | (pos >= 1 << 24)
+    place = F.shiftleft(doc_id.cast("long"), 24).bitwiseOR(pos.cast("long"))
+    return F.when(wide, F.raise_error(F.lit("places are told apart in order for ids within 2^39 of 0 and texts of up to 2^24 tokens")).cast("long")).otherwise(place)
+
+
+def lookup(pairs: Sequence[tuple], parts: int = 256):
+    """A function from a string Column to the value of that key in the pairs (all of a
+    bounded number, carried in the plan), null for others.  A map is searched from end
+    to end, so the keys are dealt to small ones by their checksum."""
+    if not pairs:
+        return lambda x: F.lit(None)
+    parts = min(parts, len(pairs))
+    dealt: list[list] = [[] for _ in range(parts)]
+    for k, v in pairs:
+        dealt[zlib.crc32(k.encode()) % parts] += [F.lit(k), F.lit(v)]
+    blank = [F.lit(""), F.lit(pairs[0][1])]  # a part without keys; "" is no word
+    table = F.array(*[F.create_map(*(d or blank)) for d in dealt])
+    return lambda x: F.when(x != "", F.try_element_at(F.get(table, (F.crc32(x.cast("binary")) % parts).cast("int")), x))
 
 
 def pad_or_cut(ids: Column, n: int, pad: int = 0) -> Column:
@@ -107,3 +126,13 @@ def pad_or_cut(ids: Column, n: int, pad: int = 0) -> Column:
 def shift_right(labels: Column, start: int = 0) -> Column:
     """Decoder inputs: the start id and all labels but the last."""
     return F.concat(F.array(F.lit(start)), F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))))
+
+
+def encode_batch(tokens: Column, find, n: int, prefix: Sequence[str] = (), unknown: int = 1, pad: int = 0) -> Column:
+    """struct<ids, mask> of a list of tokens by find, a function from words to ids like
+    lookup()'s: after the prefix's words, cut or filled up to n; the mask is 1 where
+    there is a token."""
+    words = F.concat(F.array(*[F.lit(p) for p in prefix]).cast("array<string>"), tokens)
+    coded = F.transform(words, lambda w: F.coalesce(find(w), F.lit(unknown)))
+    full = pad_or_cut(coded, n, pad)
+    return F.struct(full.alias("ids"), F.transform(full, lambda _, i: (i < F.size(coded)).cast("int")).alias("mask"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cbow_tokens, first_position
+from ..functions.text import cbow_tokens, first_position, lookup
 
 
 def vocabulary(docs: DataFrame, size: int = 1000, tokens=cbow_tokens) -> DataFrame:
@@ -25,12 +23,8 @@ def context_pairs(docs: DataFrame, vocabulary: DataFrame, reach: int = 2, tokens
 
     The vocabulary is a map literal of bounded size, so nothing is shuffled."""
     words = vocabulary.select("word", "ix").orderBy("ix").collect()  # at most the vocabulary's size
-    # A map is searched from end to end, so the words are dealt to small ones by their checksum.
-    dealt: list[list] = [[] for _ in range(256)]
-    for r in words:
-        dealt[zlib.crc32(r.word.encode()) % 256] += [F.lit(r.word), F.lit(r.ix)]
-    table = F.array(*[F.create_map(*d) if d else F.create_map(F.lit(""), F.lit(0)) for d in dealt])
-    ids = F.transform(tokens(docs["text"]), lambda x: F.coalesce(F.try_element_at(F.get(table, (F.crc32(x.cast("binary")) % 256).cast("int")), x), F.lit(0)))
+    find = lookup([(r.word, r.ix) for r in words])
+    ids = F.transform(tokens(docs["text"]), lambda x: F.coalesce(find(x), F.lit(0)))
     coded = docs.select("doc_id", ids.alias("ids"))
     around = lambda x, i: F.struct(i.cast("long").alias("pos"), F.concat(F.slice("ids", F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), F.slice("ids", i + 2, F.lit(reach))).alias("context"), x.alias("target"))
     rows = coded.select("doc_id", F.explode(F.transform("ids", around)).alias("p")).select("doc_id", "p.pos", "p.context", "p.target")
@@ -54,8 +48,8 @@ class Model:
         self.e, self.w, self.b = flat[: n * d].reshape(n, d).copy(), flat[n * d : 2 * n * d].reshape(d, n).copy(), flat[2 * n * d :].copy()
 
     def step(self, contexts: list, targets: np.ndarray, rate: float) -> tuple[float, float]:
-        """One descent step on a batch; summed loss and target probability.  A
-        word that a context has twice is moved twice."""
+        """One descent step on the mean loss of a batch; summed loss and target
+        probability.  A word that a context has twice is moved twice."""
         sizes = np.array([len(c) for c in contexts])
         owner, flat = np.repeat(np.arange(len(contexts)), sizes), np.concatenate(contexts).astype(np.int64)
         hidden = np.zeros((len(contexts), self.e.shape[1]))
@@ -66,6 +60,7 @@ class Model:
         p /= p.sum(1, keepdims=True)
         right = p[np.arange(len(targets)), targets].copy()
         p[np.arange(len(targets)), targets] -= 1
+        p /= len(targets)
         back = p @ self.w.T
         self.w -= rate * hidden.T @ p
         self.b -= rate * p.sum(0)
@@ -122,6 +117,41 @@ def train(pairs: DataFrame, size: int, width: int = 50, epochs: int = 5, rate: f
     return model, history
 
 
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """The model as a table: kind (e, w, b), row, values."""
+    parts = [("e", model.e), ("w", model.w), ("b", model.b[None, :])]
+    rows = [(kind, i, [float(x) for x in r]) for kind, m in parts for i, r in enumerate(m)]
+    spark.createDataFrame(rows, "kind string, row int, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    rows = spark.read.parquet(path).orderBy("kind", "row").collect()  # a model's size
+    of = {k: np.array([r["values"] for r in rows if r.kind == k]) for k in "ewb"}
+    model = Model(*of["e"].shape)
+    model.e, model.w, model.b = of["e"], of["w"], of["b"][0]
+    return model
+
+
+def projection(vectors: DataFrame, k: int = 2, vec: str = "vec") -> DataFrame:
+    """The rows with `point`, the first k principal components (centred, each with the
+    sign that makes its largest weight positive): one pass for the covariances, d x d
+    numbers at the driver, one projection in place."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = vectors.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
+    fitted = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows)
+    axes = fitted.pc.toArray()
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
+    mean = rows.select(Summarizer.mean(F.col("_v"))).first()[0].toArray()
+    sign = np.sign((axes * fitted.pc.toArray()).sum(0))
+    shift = mean @ axes
+    # The transformer does not centre and keeps its own signs.
+    point = F.transform(vector_to_array("_p"), lambda x, i: x * F.get(F.array(*[F.lit(float(s)) for s in sign]), i) - F.get(F.array(*[F.lit(float(s)) for s in shift]), i))
+    return fitted.transform(rows).withColumn("point", point).drop("_v", "_p")
+
+
 def vectors(model: Model, vocabulary: DataFrame) -> DataFrame:
     """ix, word, vec of the vocabulary and <UNK> (0)."""
     spark = vocabulary.sparkSession

@@ -134,6 +134,14 @@ def map_rows(w: np.ndarray, spark) -> DataFrame:
     return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(w)], "row int, values array<float>")
 
 
+def save_map(w: np.ndarray, spark, path: str) -> None:
+    map_rows(w, spark).write.mode("overwrite").parquet(path)
+
+
+def load_map(spark, path: str) -> np.ndarray:
+    return np.array([r["values"] for r in spark.read.parquet(path).orderBy("row").collect()])  # a model's size
+
+
 def apply_map(rows: DataFrame, w: np.ndarray, column: str = "vec") -> DataFrame:
     """rows with the vector mapped, in vectorized batches."""
     w = np.asarray(w, np.float64)
@@ -145,18 +153,20 @@ def apply_map(rows: DataFrame, w: np.ndarray, column: str = "vec") -> DataFrame:
     return rows.withColumn(column, mapped(column))
 
 
-def nearest(targets: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vec: str = "embedding", skip_self: bool = True, block: int = 1024) -> DataFrame:
+def nearest(targets: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vec: str = "embedding", skip_self: bool = True, block_numbers: int = 1 << 21) -> DataFrame:
     """query_id, id, similarity, rank: the k most similar rows of targets for each
     row of queries (same columns), by cosine, ties by id.
 
-    The queries are a stated set, taken in blocks of bounded size; each block is a
-    matrix that travels to the tasks, and a task keeps its best k per query."""
-    out, held = None, []
+    The queries are a stated set, taken in blocks of at most so many numbers (16 MB);
+    each block is a matrix that travels to the tasks and one pass over the targets, and
+    a task gives its best k per query, however many batches it reads."""
+    out, held, numbers = None, [], 0
     for r in queries.where(F.col(vec).isNotNull()).select(id_column, vec).toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
+        if held and numbers + len(r[1]) > block_numbers:
             part = _best(targets, held, k, id_column, vec, skip_self)
-            out, held = part if out is None else out.unionAll(part), []
+            out, held, numbers = part if out is None else out.unionAll(part), [], 0
+        held.append((r[0], r[1]))
+        numbers += len(r[1])
     if held:
         part = _best(targets, held, k, id_column, vec, skip_self)
         out = part if out is None else out.unionAll(part)
@@ -167,7 +177,7 @@ def nearest(targets: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(targets: DataFrame, held: list, k: int, id_column: str, vec: str, skip_self: bool) -> DataFrame:
+def _best(targets: DataFrame, held: list, k: int, id_column: str, vec: str, skip_self: bool, chunk_cells: int = 4_000_000) -> DataFrame:
     import pyarrow as pa
 
     kind = targets.schema[id_column].dataType.simpleString()
@@ -178,20 +188,29 @@ def _best(targets: DataFrame, held: list, k: int, id_column: str, vec: str, skip
 
     def run(batches):
         q_ids, q = shared.value
+        best_id, best_sim, id_type = None, None, None
         for rb in batches:
             n = rb.num_rows
             if not n:
                 continue
+            id_type = rb.column(0).type
             ids = np.array(rb.column(0).to_pylist())
             x = rb.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
-            sims = x @ q.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            if skip_self:
-                sims[ids[:, None] == q_ids[None, :]] = -np.inf
-            rank_of = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-            best = np.lexsort((np.broadcast_to(rank_of[:, None], sims.shape), -sims), axis=0)[:k]
-            at, col = best.ravel(), np.tile(np.arange(len(q_ids)), len(best))
-            good = np.isfinite(sims[at, col])
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[col[good]]).cast(rb.column(0).type), pa.array(ids[at[good]]).cast(rb.column(0).type), pa.array(sims[at, col][good])], names=["query_id", "id", "similarity"])
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            for a in range(0, n, step := max(1, chunk_cells // len(q))):
+                own = ids[a : a + step]
+                sim = np.round(x[a : a + step] @ q.T, 12)  # equal vectors tie, whatever their batch
+                if skip_self:
+                    sim[own[:, None] == q_ids[None, :]] = -np.inf
+                of = np.broadcast_to(own[:, None], sim.shape)
+                if best_id is not None:
+                    sim, of = np.concatenate([best_sim, sim]), np.concatenate([best_id, of])
+                rank_of = np.unique(of, return_inverse=True)[1].reshape(of.shape)
+                first = np.lexsort((rank_of, -sim), axis=0)[:k]
+                best_sim, best_id = np.take_along_axis(sim, first, 0), np.take_along_axis(of, first, 0)
+        if best_id is not None:
+            good = np.isfinite(best_sim)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids, good.shape)[good]).cast(id_type), pa.array(best_id[good]).cast(id_type), pa.array(best_sim[good])], names=["query_id", "id", "similarity"])
 
     rows = targets.where(F.col(vec).isNotNull()).select(id_column, vec)
     return rows.mapInArrow(run, f"query_id {kind}, id {kind}, similarity double")

@@ -8,8 +8,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import ENCODERS, encode_list, gaps
+from ..functions.codes import ENCODERS, encode_list, fibonacci_length, gamma_length, gaps
 from ..functions.text import index_tokens
+from ..storage import stored
+
+
+def store(postings: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write the index as a table of files by a hash of the term: a query then reads
+    only its terms' files.  Built once, read by boolean.find_stored()."""
+    rows = postings.withColumn("buckets", F.lit(buckets)).withColumn("bucket", F.expr(f"pmod(hash(term), {buckets})"))
+    rows.repartition("bucket").sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
+
+
+def load(spark, path: str, words: list[str] | None = None) -> DataFrame:
+    """The stored index, or only the postings of some words."""
+    rows = spark.read.schema("term string, doc_id long, tf long, buckets int, bucket int").parquet(path)
+    if words is not None:
+        buckets = rows.select("buckets").first()
+        n = buckets[0] if buckets else 1
+        own = sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(F.expr(f"pmod(hash(term), {n})")).collect()})
+        rows = rows.where(F.col("bucket").isin(*own) & F.col("term").isin(*words))
+    return rows.select("term", "doc_id", "tf")
 
 
 def postings(docs: DataFrame, tokens=index_tokens) -> DataFrame:
@@ -55,17 +74,26 @@ def posting_lists(postings: DataFrame, shift: int = 1) -> DataFrame:
     return postings.groupBy("term").agg(F.array_sort(F.collect_set(F.col("doc_id") + shift)).alias("ids"))
 
 
+def list_segments(postings: DataFrame, shift: int = 1, segment: int = 1 << 12) -> DataFrame:
+    """term, seg, ids: the sorted lists, cut where the ids pass multiples of `segment`,
+    so that no row has more ids, whatever the term."""
+    rows = postings.select("term", (F.col("doc_id") + shift).alias("id"))
+    return rows.groupBy("term", F.expr(f"id div {segment}").alias("seg")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
 def encoded_lists(lists: DataFrame, code: str) -> DataFrame:
-    """term, bits: the d-gaps of ids as one stream."""
-    return lists.select("term", encode_list(gaps(F.col("ids")), code).alias("bits"))
+    """The other columns of lists, and bits: the d-gaps of ids as one stream.  A
+    segment's first gap is its first id."""
+    keys = [c for c in lists.columns if c != "ids"]
+    return lists.select(*keys, encode_list(gaps(F.col("ids")), code).alias("bits"))
 
 
 def code_sizes(gap_rows: DataFrame) -> DataFrame:
     """Bits of all gaps in each code, of the lists as comma-joined text (8 a
     character), and the ratios."""
-    bits = {c: F.sum(F.length(f(F.col("gap")))).alias(f"{c}_bits") for c, f in ENCODERS.items() if c != "unary"}
-    # n ones and a zero: the length needs no string
-    per_term = gap_rows.groupBy("term").agg((F.sum(F.length(F.col("doc_id").cast("string"))) + F.count("*") - 1).alias("chars"), F.sum("gap").alias("unary_bits"), *bits.values())
+    # Lengths are worked out without the codes; the unary code of n has n bits.
+    gap = F.col("gap")
+    per_term = gap_rows.groupBy("term").agg((F.sum(F.length(F.col("doc_id").cast("string"))) + F.count("*") - 1).alias("chars"), F.sum("gap").alias("unary_bits"), F.sum(gamma_length(gap)).alias("gamma_bits"), F.sum(fibonacci_length(gap)).alias("fibonacci_bits"))
     total = per_term.agg((8 * F.sum("chars")).alias("text_bits"), *[F.sum(f"{c}_bits").alias(f"{c}_bits") for c in ENCODERS])
     return total.select("*", *[(F.col(f"{c}_bits") / F.col("text_bits")).alias(f"{c}_ratio") for c in ENCODERS])
 
@@ -114,10 +142,59 @@ def holds(bits: str | None, target: int, code: str) -> bool:
     return bool(bits) and have == target
 
 
-def member_compressed(encoded: DataFrame, wanted: DataFrame, code: str) -> DataFrame:
-    """wanted(term, target) with `found`, from encoded(term, bits)."""
-    @F.pandas_udf("boolean")
-    def check(bits: pd.Series, target: pd.Series) -> pd.Series:
-        return pd.Series([holds(b, t, code) for b, t in zip(bits, target, strict=True)], dtype=bool)
-
-    return wanted.join(encoded, "term", "left").select("term", "target", check("bits", "target").alias("found"))
+def member_compressed(encoded: DataFrame, wanted: DataFrame, code: str, segment: int | None = None) -> DataFrame:
+    """wanted(term, target) with `found`, from encoded(term, bits), or, of lists in
+    segments, from encoded(term, seg, bits): only the segment that may hold the target
+    is decoded.  The targets of one list (or segment) meet it in one row."""
+    @F.pandas_udf("array<boolean>")
+    def check(bits: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([[holds(b, int(t), code) for t in ts] for b, ts in zip(bits, targets, strict=True)], dtype=object)
+
+    keys = ["term"] if segment is None else ["term", "seg"]
+    rows = wanted.select("term", "target")
+    if segment is not None:
+        rows = rows.withColumn("seg", F.expr(f"target div {segment}"))
+    # A list is copied once per bundle of targets, not once per target; bundles are bounded.
+    bundles = rows.withColumn("bundle", F.pmod(F.xxhash64("target"), F.lit(16))).groupBy(*keys, "bundle").agg(F.collect_list("target").alias("targets"))
+    judged = bundles.join(encoded, keys, "left").select("term", F.explode(F.arrays_zip("targets", check("bits", "targets").alias("found"))).alias("x"))
+    return judged.select("term", F.col("x.targets").alias("target"), "x.found")
+
+
+def lookup_speed(postings: DataFrame, repetitions: int = 100, codes: tuple[str, ...] = ("unary", "gamma", "fibonacci")) -> DataFrame:
+    """list (short, medium, long), term, n, target, exists, method, found, seconds: the
+    mean time of a lookup in the plain list and in each code.
+
+    Three lists are looked into: one of 10 to 50 ids, one of 100 to 500 from the middle
+    of all lists by length, and one of 1000 and more, the longest first (where there is
+    none such: the shortest, the middle and the longest).  Targets are the first, middle
+    and last id and one that is missing.  Three lists come to the driver."""
+    import time
+    from bisect import bisect_left
+
+    postings = stored(postings.select("term", "doc_id"))
+    sizes = stored(postings.groupBy("term").agg(F.countDistinct("doc_id").alias("n")))
+    n_lists = sizes.count()
+    pick = lambda cond, *order: sizes.where(cond).orderBy(*order).limit(1).collect()
+    chosen = {"short": pick("n between 10 and 50", "n", "term") or pick("true", "n", "term")}
+    if n_lists > 100:
+        median = sizes.agg(F.percentile_approx("n", 0.5, 10_000)).first()[0]
+        chosen["medium"] = pick(f"n >= {median} and n between 100 and 500", "n", "term") or pick(f"n >= {median}", "n", "term")
+    if n_lists > 200:
+        chosen["long"] = pick("n >= 1000", F.desc("n"), "term") or pick("true", F.desc("n"), "term")
+    spark, rows = postings.sparkSession, []
+    schema = "list string, term string, n long, target long, exists boolean, method string, found boolean, seconds double"
+    for name, got in chosen.items():
+        if not got:
+            continue
+        own = posting_lists(postings.where(F.col("term") == got[0].term))
+        lists = own.select("ids", *[encode_list(gaps(F.col("ids")), c).alias(c) for c in codes]).first()
+        ids = lists.ids
+        missing = next(i for i in range(1, len(ids) + 2) if i == len(ids) + 1 or ids[i - 1] != i)
+        for target in (ids[0], ids[len(ids) // 2], ids[-1], missing if missing <= ids[-1] else ids[-1] + 1):
+            plain = lambda t=target: (i := bisect_left(ids, t)) < len(ids) and ids[i] == t
+            for method, look in (("uncompressed", plain), *((c, lambda c=c, t=target: holds(lists[c], t, c)) for c in codes)):
+                start = time.perf_counter()
+                for _ in range(repetitions):
+                    found = look()
+                rows.append((name, got[0].term, len(ids), int(target), target in ids, method, bool(found), (time.perf_counter() - start) / repetitions))
+    return spark.createDataFrame(rows, schema)

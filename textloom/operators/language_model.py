@@ -8,7 +8,7 @@ counts.  Ties go to what stands first in the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_position, ngram_tokens, ngrams
@@ -83,6 +83,17 @@ def perplexity(docs: DataFrame, model: DataFrame, n: int, first: int | None = No
     return every.join(each, "doc_id", "left").select("doc_id", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), F.coalesce("perplexity", F.lit(float("inf"))).alias("perplexity"))
 
 
+def corpus_perplexity(docs: DataFrame, model: DataFrame, n: int, first: int = 1000, tokens=ngram_tokens, unseen: float = 1e-10) -> DataFrame:
+    """n_grams, perplexity (one row) of the corpus's first tokens, documents taken by
+    their ids.  No more than `first` documents are looked at: each has a token."""
+    start = docs.select("doc_id", tokens(docs["text"]).alias("t")).where(F.size("t") > 0).orderBy("doc_id").limit(first)
+    before = F.coalesce(F.sum(F.size("t")).over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `first` rows
+    cut = start.withColumn("left", F.lit(first) - before).where("left > 0").select("doc_id", F.slice("t", F.lit(1), F.col("left").cast("int")).alias("t"))
+    grams = cut.select(F.explode(ngrams(F.col("t"), n)).alias("g")).groupBy("g.prefix", "g.next").agg(F.count("*").alias("k"))
+    logs = grams.join(model.select("prefix", "next", "prob"), ["prefix", "next"], "left").select("k", (F.col("k") * F.log(F.coalesce("prob", F.lit(unseen)))).alias("l"))
+    return logs.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_grams"), F.coalesce(F.exp(-F.sum("l") / F.sum("k")), F.lit(float("inf"))).alias("perplexity"))
+
+
 def generate(bigrams: DataFrame, trigrams: DataFrame, start: str, words: int = 20, seed: int = 0) -> list[str]:
     """Weighted random words after `start`: the second by bigrams, the others by
     trigrams.  Each step is one distributed draw (exponential clocks with the

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stemmed
 from ..functions.text import ngrams
 
 
@@ -13,6 +14,11 @@ def overlap_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def stemmed_tokens(text: Column) -> Column:
+    """The same as English stems."""
+    return stemmed(overlap_tokens(text))
+
+
 def dialogue_pairs(conversations: DataFrame) -> DataFrame:
     """pair_id, reference (a user's turn), prediction (the assistant's next turn)."""
     a = conversations.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))

@@ -155,3 +155,13 @@ def comparisons(docs: DataFrame, pattern: str, id_column: str = "doc_id", text_c
     out = rows.mapInArrow(run, f"`{id_column}` {kind}, " + ", ".join(f"{m} long" for m in METHODS) + ", method string")
     hybrid = F.when(F.col("method") == "kmp", F.col("kmp")).when(F.col("method") == "horspool", F.col("horspool")).otherwise(F.col("brute_force"))
     return out.withColumn("hybrid", hybrid)
+
+
+def harness(spark, cases: dict[str, tuple[str, str]]) -> DataFrame:
+    """name, the comparisons of each method, method and hybrid for cases of a text and
+    its pattern: one pass per pattern."""
+    out = None
+    for name, (text, pattern) in cases.items():
+        own = comparisons(spark.createDataFrame([(name, text)], "name string, text string"), pattern, "name")
+        out = own if out is None else out.unionAll(own)
+    return out

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_bigrams, edit_variants, first_position, word_tokens
+from ..functions.text import char_bigrams, edit_variants, first_position, lookup, word_tokens
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -79,18 +79,29 @@ def bigram_scores(variants: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def best_by_bigrams(words: DataFrame, index: DataFrame) -> DataFrame:
-    """word, correction, score of the variant with the highest score."""
+    """word, correction, score of the variant with the highest score; null where every
+    variant's score is minus infinity."""
     found = candidates(words)
-    scored = found.join(bigram_scores(found, index), "variant")
+    scored = found.join(bigram_scores(found, index), "variant").where(F.col("score") > float("-inf"))
     best = scored.groupBy("word").agg(F.min_by(F.struct("variant", "score"), F.struct(-F.col("score"), "variant")).alias("b"))
-    return best.select("word", F.col("b.variant").alias("correction"), F.col("b.score").alias("score"))
+    return words.select("word").distinct().join(best, "word", "left").select("word", F.col("b.variant").alias("correction"), F.col("b.score").alias("score"))
 
 
-def correct_sentences(sentences: DataFrame, corrections: DataFrame) -> DataFrame:
+def correct_sentences(sentences: DataFrame, corrections: DataFrame, most: int = 20_000) -> DataFrame:
     """sent_id, text with each word replaced by its correction, if there is one.
-    sentences(sent_id, text); corrections(word, correction)."""
-    words = sentences.select("sent_id", F.posexplode(F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda x: x != "")).alias("pos", "word"))
-    fixed = words.join(corrections.select("word", "correction"), "word", "left").select("sent_id", "pos", F.coalesce("correction", "word").alias("w"))
+    sentences(sent_id, text); corrections(word, correction).
+
+    Up to `most` corrections are carried to the sentences, which are rewritten in place;
+    with more, the words are shuffled to them."""
+    split = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda x: x != "")
+    known = corrections.where("word is not null and correction is not null").select("word", "correction")
+    few = known.limit(most + 1).collect()
+    if len(few) <= most:
+        find = lookup([(r.word, r.correction) for r in few])
+        rows = sentences.select("sent_id", split.alias("w")).where(F.size("w") > 0)
+        return rows.select("sent_id", F.array_join(F.transform("w", lambda x: F.coalesce(find(x), x)), " ").alias("text"))
+    words = sentences.select("sent_id", F.posexplode(split).alias("pos", "word"))
+    fixed = words.join(known, "word", "left").select("sent_id", "pos", F.coalesce("correction", "word").alias("w"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
     return fixed.groupBy("sent_id").agg(joined.alias("text"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_of, tfidf_tokens
+from ..storage import stored
 
 
 def _kept(docs: DataFrame) -> DataFrame:
@@ -64,16 +65,24 @@ def unit_vectors(weights: DataFrame) -> DataFrame:
     return pairs.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: x["term"]).alias("terms"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("values"))
 
 
-def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
+def top_scores(docs: DataFrame, query: str, k: int = 10, multiset: bool = False, tokens=tfidf_tokens) -> DataFrame:
+    """rank, doc_id, score of the first k documents by falling score, ties by doc_id."""
+    best = query_scores(docs, query, multiset, tokens).orderBy(F.desc("score"), "doc_id").limit(k)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")  # k rows
+
+
+def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 4_000_000) -> DataFrame:
     """query_id, doc_id, similarity, rank: the k most similar other documents of
     each query(doc_id), with similarity above 0, ties by doc_id.
 
-    The queries are a stated set, taken in blocks of bounded size.  A block travels
-    to every task as an inverted list; a task keeps the best k per query of each
-    batch, so what is shuffled does not grow with the documents."""
+    The vectors are written once.  The queries are a stated set, taken in blocks whose
+    matrix (terms of the block x queries) has at most `cells` numbers, or one query; a
+    block is one pass over the vectors, and a task gives its best k per query, so what
+    is shuffled does not grow with the documents."""
     spark = vectors.sparkSession
+    vectors = stored(vectors)
     out = None
-    for held in _blocks(vectors.join(queries.select("doc_id"), "doc_id", "left_semi"), block):
+    for held in _blocks(vectors.join(queries.select("doc_id"), "doc_id", "left_semi"), cells):
         part = _neighbours(vectors, held, k)
         out = part if out is None else out.unionAll(part)
     if out is None:
@@ -82,48 +91,70 @@ def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame, block: int):
-    held = []
+def _blocks(rows: DataFrame, cells: int):
+    held, known = [], set()
     for r in rows.toLocalIterator():
-        held.append((r.doc_id, r.terms, r["values"]))
-        if len(held) == block:
+        more = known.union(r.terms)
+        if held and len(more) * (len(held) + 1) > cells:
             yield held
-            held = []
+            held, more = [], set(r.terms)
+        held.append((r.doc_id, r.terms, r["values"]))
+        known = more
     if held:
         yield held
 
 
-def _neighbours(vectors: DataFrame, held: list, k: int) -> DataFrame:
+def _neighbours(vectors: DataFrame, held: list, k: int, chunk_cells: int = 4_000_000) -> DataFrame:
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    lists: dict[str, list[tuple[int, float]]] = {}
+    place = {t: i for i, t in enumerate(dict.fromkeys(t for _, terms, _ in held for t in terms))}
+    matrix = np.zeros((len(place), len(held)))
     for q, (_, terms, values) in enumerate(held):
-        for t, v in zip(terms, values, strict=True):
-            lists.setdefault(t, []).append((q, v))
-    inverted = {t: (np.array([q for q, _ in x]), np.array([v for _, v in x])) for t, x in lists.items()}
+        matrix[[place[t] for t in terms], q] = values
     ids = np.array([i for i, _, _ in held])
-    shared = vectors.sparkSession.sparkContext.broadcast((inverted, ids))  # one block of queries
+    shared = vectors.sparkSession.sparkContext.broadcast((list(place), matrix, ids))  # one block of queries
 
     def run(batches):
-        inverted, ids = shared.value
+        terms, matrix, ids = shared.value
+        known, width = pa.array(terms, pa.string()), len(terms)
+        best_id, best_sim = np.zeros((0, len(ids)), np.int64), np.zeros((0, len(ids)))
         for rb in batches:
             docs = rb.column(0).to_numpy()
-            sims = np.zeros((len(docs), len(ids)))
-            for i, (terms, values) in enumerate(zip(rb.column(1).to_pylist(), rb.column(2).to_pylist(), strict=True)):
-                for t, v in zip(terms, values, strict=True):
-                    if t in inverted:
-                        q, w = inverted[t]
-                        sims[i, q] += v * w
-            sims = np.minimum(sims, 1.0)
-            sims[docs[:, None] == ids[None, :]] = 0
-            best = np.lexsort((np.broadcast_to(docs[:, None], sims.shape), -sims), axis=0)[:k]
-            at, q = best.ravel(), np.tile(np.arange(len(ids)), len(best))
-            good = sims[at, q] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[good]]), pa.array(docs[at[good]]), pa.array(sims[at, q][good])], names=["query_id", "doc_id", "similarity"])
+            at = pc.index_in(rb.column(1).values, value_set=known)
+            ends = rb.column(1).offsets.to_numpy() - rb.column(1).offsets[0].as_py()
+            col = pc.fill_null(at, -1).to_numpy()[rb.column(1).offsets[0].as_py() :]
+            val = rb.column(2).values.to_numpy()[rb.column(2).offsets[0].as_py() :]
+            step = max(1, chunk_cells // max(1, width, len(ids)))
+            for a in range(0, len(docs), step):
+                b = min(len(docs), a + step)
+                own, v = col[ends[a] : ends[b]], val[ends[a] : ends[b]]
+                row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                dense = np.zeros((b - a, width))
+                dense[row[own >= 0], own[own >= 0]] = v[own >= 0]
+                sims = np.minimum(np.round(dense @ matrix, 12), 1.0)  # equal vectors tie, whatever their chunk
+                sims[docs[a:b, None] == ids[None, :]] = 0
+                sim = np.concatenate([best_sim, sims])
+                of = np.concatenate([best_id, np.broadcast_to(docs[a:b, None], sims.shape)])
+                first = np.lexsort((of, -sim), axis=0)[:k]
+                best_sim, best_id = np.take_along_axis(sim, first, 0), np.take_along_axis(of, first, 0)
+        good = best_sim > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, good.shape)[good]), pa.array(best_id[good]), pa.array(best_sim[good])], names=["query_id", "doc_id", "similarity"])
 
     return vectors.select("doc_id", "terms", "values").mapInArrow(run, "query_id long, doc_id long, similarity double")
 
 
+def unit_rows(weights: DataFrame) -> DataFrame:
+    """doc_id, term, idf, v: the weights of each document at length one."""
+    return weights.where("w != 0").join(norms(weights), "doc_id").select("doc_id", "term", "idf", (F.col("w") / F.col("norm")).alias("v"))
+
+
+def _dots(pairs: DataFrame, unit: DataFrame) -> DataFrame:
+    left = unit.select(F.col("doc_id").alias("d1"), "term", F.col("v").alias("v1"))
+    right = unit.select(F.col("doc_id").alias("d2"), "term", F.col("v").alias("v2"))
+    return pairs.join(left, "d1").join(right, ["d2", "term"]).groupBy("d1", "d2").agg(F.least(F.sum(F.col("v1") * F.col("v2")), F.lit(1.0)).alias("similarity"))
+
+
 def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
     """d1, d2, similarity (d1 < d2) of all pairs of documents at `least` or more.
 
@@ -131,33 +162,63 @@ def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
     of length below `least` cannot make a pair on its own, so two documents of such
     a pair share a term of both prefixes.  Prefixes hold the rare terms, so the join
     meets few pairs; each candidate is verified once with its whole vectors."""
-    unit = weights.where("w != 0").join(norms(weights), "doc_id").select("doc_id", "term", "idf", (F.col("w") / F.col("norm")).alias("v"))
+    return _pairs_at(unit_rows(weights), least)
+
+
+def _pairs_at(unit: DataFrame, least: float) -> DataFrame:
     rest = Window.partitionBy("doc_id").orderBy("idf", F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefix = unit.withColumn("rest", F.sqrt(F.sum(F.col("v") * F.col("v")).over(rest))).where(F.col("rest") >= least - 1e-9).select("doc_id", "term")
     a, b = prefix.withColumnRenamed("doc_id", "d1"), prefix.withColumnRenamed("doc_id", "d2")
     pairs = a.join(b, "term").where("d1 < d2").select("d1", "d2").distinct()
-    left = unit.select(F.col("doc_id").alias("d1"), "term", F.col("v").alias("v1"))
-    right = unit.select(F.col("doc_id").alias("d2"), "term", F.col("v").alias("v2"))
-    dots = pairs.join(left, "d1").join(right, ["d2", "term"]).groupBy("d1", "d2").agg(F.least(F.sum(F.col("v1") * F.col("v2")), F.lit(1.0)).alias("similarity"))
-    return dots.where(F.col("similarity") >= least)
+    return _dots(pairs, unit).where(F.col("similarity") >= least)
+
+
+def _proportional(docs: DataFrame, tokens) -> tuple | None:
+    """The first two documents with proportional counts of the terms that not every
+    document has.  Counts are taken relative to the document's least, which is the same
+    correctly rounded number for all of a class and no other, so the class is exact."""
+    rows = _kept(docs).select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
+    counts = rows.groupBy("doc_id", "term").agg(F.count("*").alias("cnt"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    every = df.join(F.broadcast(_kept(docs).agg(F.count("*").alias("n"))), F.col("df") == F.col("n")).select("term")  # one row
+    counts = counts.join(F.broadcast(every), "term", "left_anti")  # no more terms than any one document has
+    own = counts.groupBy("doc_id").agg(F.collect_list(F.struct("term", "cnt")).alias("x"))
+    least = F.array_min(F.transform("x", lambda e: e["cnt"]))
+    own = own.withColumn("least", least).select("doc_id", F.array_sort(F.transform("x", lambda e: F.struct(e["term"].alias("t"), (e["cnt"] / F.col("least")).alias("r")))).alias("x"))
+    classes = stored(own.select("doc_id", F.xxhash64("x").alias("a"), F.xxhash64(F.lit(1), "x").alias("b")))
+    first = classes.groupBy("a", "b").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("last")).where("d1 < last").orderBy("d1").limit(1).collect()
+    if not first:
+        return None
+    f = first[0]
+    second = classes.where((F.col("a") == f.a) & (F.col("b") == f.b) & (F.col("doc_id") > f.d1)).agg(F.min("doc_id")).first()[0]
+    return f.d1, second
 
 
 def most_similar_pair(docs: DataFrame, tokens=tfidf_tokens) -> DataFrame:
     """d1, d2, similarity of the most similar pair (ties: the smallest ids).
 
     Documents with proportional term counts have similarity 1: where there are such,
-    the answer is the first two of a class, found by one aggregation.  Otherwise the
-    threshold of an exact join is lowered until it has a pair; what it then has
-    includes the best pair.  Null with fewer than two vectors that share a term."""
-    w = weights(docs, tokens)
-    # Proportional counts give unit vectors that are equal but for rounding.
-    key = F.sha2(F.concat_ws(" ", "terms", F.transform("values", lambda x: F.round(x, 9).cast("string"))), 256)
-    placed = unit_vectors(w).select("doc_id", key.alias("class"))
-    first = placed.groupBy("class").agg(F.min("doc_id").alias("d1"))
-    second = placed.join(first, "class").where("doc_id > d1").groupBy("class").agg(F.min("d1").alias("d1"), F.min("doc_id").alias("d2"))
-    found = second.orderBy("d1", "d2").limit(1).select("d1", "d2", F.lit(1.0).alias("similarity"))
-    for least in (0.8, 0.5, 0.2, 0.05, 0.0):
-        if not found.isEmpty():
+    the answer is the first two of a class, found by one aggregation.  Otherwise pairs
+    that share a rare term give a first threshold, and an exact join at it has the best
+    pair.  Where no two documents share a term, the first two have similarity 0; with
+    fewer than two documents there is no row."""
+    schema = "d1 long, d2 long, similarity double"
+    spark = docs.sparkSession
+    twins = _proportional(docs, tokens)
+    if twins:
+        return spark.createDataFrame([(*twins, 1.0)], schema)
+    unit = stored(unit_rows(weights(docs, tokens)))
+    order = lambda pairs: pairs.orderBy(F.desc("similarity"), "d1", "d2").limit(1).collect()
+    rare = unit.groupBy("term").agg(F.count("*").alias("df")).where("df between 2 and 8").select("term")
+    some = unit.join(rare, "term").select("doc_id", "term")
+    a, b = some.withColumnRenamed("doc_id", "d1"), some.withColumnRenamed("doc_id", "d2")
+    seen = order(_dots(a.join(b, "term").where("d1 < d2").select("d1", "d2").distinct(), unit))
+    found = []
+    for least in [seen[0].similarity - 1e-9] if seen else [0.5, 0.2, 0.05, 0.0]:
+        found = order(_pairs_at(unit, max(least, 0.0)))
+        if found:
             break
-        found = similar_pairs(w, least).orderBy(F.desc("similarity"), "d1", "d2").limit(1)
-    return found
+    if found and found[0].similarity > 0:
+        return spark.createDataFrame([tuple(found[0])], schema)
+    two = [r.doc_id for r in _kept(docs).select("doc_id").orderBy("doc_id").limit(2).collect()]
+    return spark.createDataFrame([(*two, 0.0)] if len(two) == 2 else [], schema)

@@ -196,11 +196,28 @@ def find(docs: DataFrame, query: str, strict: bool = False, tokens=index_tokens)
     return _counts(docs, words, tokens).where(membership(node, has)).select("doc_id")
 
 
+def find_stored(spark, path: str, everything: DataFrame, query: str, strict: bool = False) -> DataFrame:
+    """doc_id of the documents that a query selects, from an index written by
+    index.store().  `everything` has every doc_id; it is read only by queries that
+    select documents without any of their terms."""
+    from ..operators import index
+
+    node = parse(query, strict)
+    if node is None:
+        return everything.select("doc_id").where(F.lit(False))
+    words = terms(node)
+    own = index.load(spark, path, words).groupBy("doc_id").agg(*[F.bool_or(F.col("term") == w).alias(f"has_{i}") for i, w in enumerate(words)])
+    has = {w: F.coalesce(F.col(f"has_{i}"), F.lit(False)) for i, w in enumerate(words)}
+    without_any = spark.range(1).select(membership(node, {w: F.lit(False) for w in words})).first()[0]
+    rows = everything.select("doc_id").join(own, "doc_id", "left") if without_any else own
+    return rows.where(membership(node, has)).select("doc_id")
+
+
 def rank(docs: DataFrame, query: str, k: int | None = None, strict: bool = False, tokens=index_tokens) -> DataFrame:
-    """doc_id, score, rank, snippet of the members of a ranked query, by falling
-    score and then doc_id; the first k if k is given, else all (without rank)."""
+    """doc_id, score of the members of a ranked query; if k is given, the first k by
+    falling score and then doc_id, with their snippet."""
     node = parse(query, strict)
-    schema = "doc_id long, score double"
+    schema = "doc_id long, score double" + ", snippet string" * (k is not None)
     if node is None or isinstance(node, Not):
         return docs.sparkSession.createDataFrame([], schema)
     words = terms(node)

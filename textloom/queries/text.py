@@ -1,26 +1,28 @@
-"""The reference operators' queries by name, and their SQL for DuckDB.
-
-Every query runs over its whole table.  Doubles are rounded alike on both sides.
-"""
+"""Tokens, language model, search, spelling, index, TF-IDF, codes, embeddings, word
+vectors and overlap: queries and SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import codes, text
-from .functions.words import CZECH_LETTERS, EDIT_ALPHABET, INDEX_STOP, PUNCTUATION, STOP_CS
-from .operators import cbow, embeddings, index, language_model, overlap, pattern_search, spelling, tfidf
-from .plans import boolean
-from .sources import text as text_source
+from ..functions import codes, text
+from ..functions.words import CZECH_LETTERS, EDIT_ALPHABET, INDEX_STOP, PUNCTUATION, STOP_CS
+from ..operators import cbow, embeddings, index, language_model, overlap, pattern_search, spelling, tfidf
+from ..plans import boolean
+from ..sources import text as text_source
+from ..storage import scratch_folder, stored
 
 #: Words to correct and queries to answer: parameters of the registered queries.
 MISSPELLED = ("teh", "thhe", "adn", "wich", "becuase", "peopel", "wrok", "tme")
-QUERY_TEXT = "time people work time"
+QUERY_TEXT = "time en re th en"
 FLAGSHIP = "en AND (re OR th) AND NOT ha"
 BOOLEAN = {"bool_and": "en AND re", "bool_or": "en OR th", "bool_not": "NOT en", "bool_nested": FLAGSHIP}
 RANKED = {"ranked_and": "en AND re", "ranked_or": "en OR th", "ranked_and_not": FLAGSHIP}
+DOMAIN = ("the", "en", "time", "die")
 PATTERN = "the "
+#: A pattern that overlaps itself where a text has three of its characters in a row.
+OVERLAPPING = "&&"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,14 +127,50 @@ for _name, _n, _alpha in (("perplexity_uni", 1, 0.0), ("perplexity_bi", 2, 1.0),
     )
 
 
+def perplexity_start(spark, sf_dir):
+    """Of the first 1000 tokens of the corpus, by single words, pairs and triples."""
+    docs, out = _docs(spark, sf_dir), None
+    for n, alpha in ((1, 0.0), (2, 1.0), (3, 1.0)):
+        one = language_model.corpus_perplexity(docs, language_model.probabilities(docs, n, alpha), n, 1000)
+        one = one.select(F.lit(n).alias("n"), "n_grams", F.format_string("%.5e", "perplexity").alias("perplexity"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def generated_text(spark, sf_dir):
+    """Twenty words drawn from the models, for each of three seeds."""
+    docs = _docs(spark, sf_dir)
+    two, three = (stored(language_model.probabilities(docs, n, 1.0)) for n in (2, 3))
+    start = language_model.top(language_model.frequencies(docs, 1), 1).first().gram
+    return spark.createDataFrame([(i, " ".join(language_model.generate(two, three, start, seed=i))) for i in range(3)], "seed int, text string")
+
+
+QUERIES |= {f.__name__: f for f in (perplexity_start, generated_text)}
+# The start's tokens in order, each with its document: n-grams do not cross documents.
+_START = f"SELECT doc_id, i, tok FROM (SELECT doc_id, unnest({SQL_TOKENS['ngram']}) AS tok, generate_subscripts({SQL_TOKENS['ngram']}, 1) AS i FROM documents) ORDER BY doc_id, i LIMIT 1000"
+_START_GRAMS = {
+    1: "SELECT '' AS prefix, tok AS next FROM st",
+    2: "SELECT a.tok AS prefix, b.tok AS next FROM st a JOIN st b ON a.doc_id = b.doc_id AND b.i = a.i + 1",
+    3: "SELECT a.tok || ' ' || b.tok AS prefix, c.tok AS next FROM st a JOIN st b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN st c ON a.doc_id = c.doc_id AND c.i = a.i + 2",
+}
+ORACLE_SQL["perplexity_start"] = f"WITH st AS MATERIALIZED ({_START}) " + " UNION ALL ".join(
+    f"SELECT {n} AS n, count(*) AS n_grams, printf('%.5e', exp(-avg(ln(coalesce(prob, 1e-10))))) AS perplexity FROM ({_START_GRAMS[n]}) g LEFT JOIN ({_model_sql(n, a)}) m USING (prefix, next)" for n, a in ((1, 0.0), (2, 1.0), (3, 1.0))
+)
+
+
 # --- pattern search ---
 def pattern_positions(spark, sf_dir):
     return pattern_search.search(_docs(spark, sf_dir), PATTERN).select("doc_id", F.explode("positions").alias("pos"))
 
 
+def pattern_overlapping(spark, sf_dir):
+    """Hits of a pattern that overlaps itself."""
+    return pattern_search.search(_docs(spark, sf_dir), OVERLAPPING).select("doc_id", F.explode("positions").alias("pos"))
+
+
 def pattern_nonoverlap(spark, sf_dir):
-    out = pattern_search.search(_table(spark, sf_dir, "pages"), "  ", "page_id", "html")
-    return out.select("page_id", F.size("apart_positions").alias("n_hits"), F.get("apart_positions", F.lit(0)).alias("first_hit"))
+    out = pattern_search.search(_docs(spark, sf_dir), OVERLAPPING)
+    return out.select("doc_id", F.size("apart_positions").alias("n_hits"), F.size("positions").alias("n_all"), F.get("apart_positions", F.lit(0)).alias("first_hit"))
 
 
 def pattern_choice(spark, sf_dir):
@@ -144,16 +182,65 @@ def pattern_comparisons(spark, sf_dir):
     return pattern_search.comparisons(_docs(spark, sf_dir), PATTERN)
 
 
-QUERIES |= {f.__name__: f for f in (pattern_positions, pattern_nonoverlap, pattern_choice, pattern_comparisons)}
+def pattern_brute_comparisons(spark, sf_dir):
+    """Brute force's comparisons on every document."""
+    return pattern_comparisons(spark, sf_dir).select("doc_id", "brute_force", "method")
+
+
+def pattern_harness(spark, sf_dir):
+    """Texts x methods: a short and a long text, a sequence of four letters, and three
+    with patterns that have borders."""
+    return pattern_search.harness(spark, HARNESS)
+
+
+HARNESS = {
+    "dna": ("AGCT" * 15, "AGCT"),
+    "short": ("a small text about time, people and the time they have", "time"),
+    "long": (" ".join(f"line {i} of a longer text, at times about people" for i in range(60)), "people"),
+    "borders": ("abababcababababdabab" * 4, "ababab"),
+    "runs": ("aaabaaaabaaaaab" * 5, "aaaa"),
+    "wide": ("abcdefg", "abcde"),
+}
+QUERIES |= {f.__name__: f for f in (pattern_positions, pattern_overlapping, pattern_nonoverlap, pattern_choice, pattern_comparisons, pattern_brute_comparisons, pattern_harness)}
 # The pattern cannot overlap itself, so the pieces between its hits give all of them.
 ORACLE_SQL["pattern_positions"] = f"""
 WITH p AS (SELECT doc_id, string_split(text, '{PATTERN}') AS ps FROM documents WHERE contains(text, '{PATTERN}')),
 u AS (SELECT doc_id, unnest(ps) AS s, generate_subscripts(ps, 1) AS i, len(ps) AS n FROM p)
 SELECT doc_id, (sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) + {len(PATTERN)} * (i - 1))::INT AS pos FROM u QUALIFY i < n"""
-ORACLE_SQL["pattern_nonoverlap"] = "SELECT page_id, (len(string_split(html, '  ')) - 1)::INT AS n_hits, (instr(html, '  ') - 1)::INT AS first_hit FROM pages WHERE contains(html, '  ')"
+_HITS = f"list_filter(range(0, length(text)), lambda i: substr(text, i + 1, {len(OVERLAPPING)}) = '{OVERLAPPING}')"
+ORACLE_SQL["pattern_overlapping"] = f"SELECT doc_id, unnest({_HITS})::INT AS pos FROM documents WHERE contains(text, '{OVERLAPPING}')"
+ORACLE_SQL["pattern_nonoverlap"] = f"SELECT doc_id, (len(string_split(text, '{OVERLAPPING}')) - 1)::INT AS n_hits, len({_HITS})::INT AS n_all, (instr(text, '{OVERLAPPING}') - 1)::INT AS first_hit FROM documents WHERE contains(text, '{OVERLAPPING}')"
 _CHOICE = "CASE WHEN {m} > length(text) // 2 THEN 'kmp' WHEN {m} <= 5 AND {d} > 3 THEN 'horspool' ELSE 'brute_force' END"
 ORACLE_SQL["pattern_choice"] = f"SELECT doc_id, {_CHOICE.format(m=4, d=4)} AS short, {_CHOICE.format(m=30 * len(PATTERN), d=4)} AS long FROM documents"
 
+# Each alignment costs one, and one more for every character that agrees before its last.
+_AGREE = " + ".join("len(list_filter(range(1, len(c) - {m} + 2), lambda i: {eq}))".format(m=len(PATTERN), eq=" AND ".join(f"c[i + {k}] = '{x}'" for k, x in enumerate(PATTERN[:j]))) for j in range(1, len(PATTERN)))
+ORACLE_SQL["pattern_brute_comparisons"] = f"SELECT doc_id, (greatest(length(t) - {len(PATTERN) - 1}, 0) + {_AGREE})::BIGINT AS brute_force, {_CHOICE.format(m=4, d=4).replace('length(text)', 'length(t)')} AS method FROM (SELECT doc_id, t, string_split(t, '') AS c FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+# The three searches character by character, as steps of a recursive query.
+_CASES = ", ".join(f"({_sql([n])}, {_sql([t])}, {_sql([p])})" for n, (t, p) in HARNESS.items())
+ORACLE_SQL["pattern_harness"] = f"""
+WITH RECURSIVE c AS MATERIALIZED (SELECT name, t, p, length(t) AS n, length(p) AS m FROM (VALUES {_CASES}) v(name, t, p)),
+border AS MATERIALIZED (SELECT name, q, (SELECT coalesce(max(k), 0) FROM range(0, q) r(k) WHERE left(left(p, q), k::INT) = right(left(p, q), k::INT)) AS b FROM (SELECT name, p, unnest(range(1, m + 1)) AS q FROM c)),
+kmp AS (
+  SELECT name, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS cost FROM c
+  UNION ALL
+  SELECT name,
+    CASE WHEN same THEN i + 1 WHEN j = 0 THEN i + 1 ELSE i END,
+    CASE WHEN same AND j + 1 < m AND (i + 1 >= n OR ahead) THEN j + 1 WHEN same THEN (SELECT b FROM border x WHERE x.name = s.name AND x.q = s.j + 1) WHEN j = 0 THEN 0 ELSE (SELECT b FROM border x WHERE x.name = s.name AND x.q = s.j) END,
+    cost + 1 + CASE WHEN NOT same THEN 1 WHEN j + 1 < m AND i + 1 < n AND NOT ahead THEN 1 ELSE 0 END
+  FROM (SELECT k.*, n, m, substr(t, k.i + 1, 1) = substr(p, k.j + 1, 1) AS same, substr(t, k.i + 2, 1) = substr(p, k.j + 2, 1) AS ahead FROM kmp k JOIN c USING (name) WHERE k.i < n) s
+),
+bmh AS (
+  SELECT name, 0::BIGINT AS i, 0::BIGINT AS cost FROM c
+  UNION ALL
+  SELECT name, i + CASE WHEN agree = m THEN m ELSE coalesce(list_min(list_filter(list_transform(range(1, m), lambda k: CASE WHEN substr(p, (m - k)::INT, 1) = last THEN k END), lambda k: k IS NOT NULL)), m) END, cost + least(agree + 1, m)
+  FROM (SELECT b.*, n, m, p, substr(t, (b.i + m)::INT, 1) AS last, (SELECT coalesce(max(k), 0) FROM range(0, m + 1) r(k) WHERE right(p, k::INT) = substr(t, (b.i + m - k + 1)::INT, k::INT)) AS agree FROM bmh b JOIN c USING (name) WHERE b.i <= n - m)
+),
+brute AS (SELECT name, greatest(n - m + 1, 0) + list_sum(list_transform(range(1, m), lambda k: len(list_filter(range(0, n - m + 1), lambda i: substr(t, (i + 1)::INT, k::INT) = left(p, k::INT))))) AS cost, m, n, len(list_distinct(string_split(p, ''))) AS d FROM c),
+every AS (SELECT b.name, b.cost AS brute_force, k.cost AS kmp, h.cost AS horspool, m, n, d FROM brute b JOIN (SELECT name, max(cost) AS cost FROM kmp GROUP BY name) k USING (name) JOIN (SELECT name, max(cost) AS cost FROM bmh GROUP BY name) h USING (name))
+SELECT name, brute_force::BIGINT AS brute_force, kmp::BIGINT AS kmp, horspool::BIGINT AS horspool, CASE WHEN m > n // 2 THEN 'kmp' WHEN m <= 5 AND d > 3 THEN 'horspool' ELSE 'brute_force' END AS method,
+  (CASE WHEN m > n // 2 THEN kmp WHEN m <= 5 AND d > 3 THEN horspool ELSE brute_force END)::BIGINT AS hybrid FROM every"""
+
 
 # --- spelling ---
 def _misspelled(spark):
@@ -187,15 +274,33 @@ def spell_bigram_logprob(spark, sf_dir):
     return scored.select("variant", F.round("score", 6).alias("score"))
 
 
-def spell_sentence(spark, sf_dir):
-    """Every document's text with the words to correct replaced."""
+def spell_best_bigrams(spark, sf_dir):
+    """The variant with the likeliest pairs of characters."""
+    d = spelling.dictionary(_docs(spark, sf_dir))
+    return spelling.best_by_bigrams(_misspelled(spark), spelling.bigram_index(d)).withColumn("score", F.round("score", 6))
+
+
+def _sentences(spark, sf_dir, strategy):
+    """Every document's text with the words to correct replaced by a strategy."""
     docs = _docs(spark, sf_dir)
-    fixes = spelling.most_frequent(_misspelled(spark), spelling.dictionary(docs))
+    fixes = stored(strategy(_misspelled(spark), spelling.dictionary(docs)))
     fixed = spelling.correct_sentences(docs.select(F.col("doc_id").alias("sent_id"), "text"), fixes)
     return fixed.select(F.col("sent_id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES |= {f.__name__: f for f in (spell_variants, spell_most_frequent, spell_closest, char_bigram_index, spell_bigram_logprob, spell_sentence)}
+def spell_sentence(spark, sf_dir):
+    return _sentences(spark, sf_dir, spelling.most_frequent)
+
+
+def spell_sentence_closest(spark, sf_dir):
+    return _sentences(spark, sf_dir, spelling.closest)
+
+
+def spell_sentence_bigrams(spark, sf_dir):
+    return _sentences(spark, sf_dir, lambda words, d: spelling.best_by_bigrams(words, spelling.bigram_index(d)))
+
+
+QUERIES |= {f.__name__: f for f in (spell_variants, spell_most_frequent, spell_closest, char_bigram_index, spell_bigram_logprob, spell_best_bigrams, spell_sentence, spell_sentence_closest, spell_sentence_bigrams)}
 _DICT = f"SELECT word, count(*) AS freq, min(doc_id * 16777216 + pos) AS first_pos FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) GROUP BY word"
 _LETTERS = "[" + _sql(dict.fromkeys(EDIT_ALPHABET)) + "]"
 _VARIANTS = f"""
@@ -214,10 +319,16 @@ ORACLE_SQL["char_bigram_index"] = _BIGRAMS
 ORACLE_SQL["spell_bigram_logprob"] = f"""
 WITH b AS ({_BIGRAMS}), t AS (SELECT bigram, sum(cnt) AS total FROM b GROUP BY bigram)
 SELECT word AS variant, round(coalesce(sum(cnt * ln(cnt / total)), 0.0), 6) AS score FROM ({_DICT}) LEFT JOIN b USING (word) LEFT JOIN t USING (bigram) GROUP BY word"""
-ORACLE_SQL["spell_sentence"] = f"""
+ORACLE_SQL["spell_best_bigrams"] = f"""
+WITH b AS MATERIALIZED ({_BIGRAMS}), t AS MATERIALIZED (SELECT bigram, sum(cnt) AS total FROM b GROUP BY bigram), v AS MATERIALIZED ({_VARIANTS}),
+g AS (SELECT DISTINCT variant, unnest(CASE WHEN length(variant) > 1 THEN list_transform(range(1, length(variant)), lambda i: substr(variant, i, 2)) ELSE [''] END) AS bigram, generate_subscripts(CASE WHEN length(variant) > 1 THEN list_transform(range(1, length(variant)), lambda i: substr(variant, i, 2)) ELSE [''] END, 1) AS at FROM v),
+s AS (SELECT variant, sum(CASE WHEN total IS NULL THEN 0.0 WHEN cnt IS NULL THEN -1e300 ELSE ln(cnt / total) END) AS score FROM g LEFT JOIN t USING (bigram) LEFT JOIN b ON b.bigram = g.bigram AND b.word = g.variant GROUP BY variant)
+SELECT q.word, variant AS correction, round(score, 6) AS score FROM (SELECT unnest([{_sql(MISSPELLED)}]) AS word) q LEFT JOIN (SELECT word, variant, score FROM v JOIN s USING (variant) WHERE score > -1e200) x USING (word) QUALIFY row_number() OVER (PARTITION BY q.word ORDER BY score DESC, variant) = 1"""
+for _name, _fix in (("spell_sentence", _BEST), ("spell_sentence_closest", ORACLE_SQL["spell_closest"]), ("spell_sentence_bigrams", ORACLE_SQL["spell_best_bigrams"])):
+    ORACLE_SQL[_name] = f"""
 WITH w AS (SELECT doc_id, {_SPLIT.format('lower(text)')} AS ws FROM documents),
 u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w)
-SELECT doc_id, md5(string_agg(coalesce(correction, word), ' ' ORDER BY i)) AS text_md5 FROM u LEFT JOIN ({_BEST}) f USING (word) GROUP BY doc_id"""
+SELECT doc_id, md5(string_agg(coalesce(correction, word), ' ' ORDER BY i)) AS text_md5 FROM u LEFT JOIN ({_fix}) f USING (word) GROUP BY doc_id"""
 
 
 # --- index and boolean queries ---
@@ -250,6 +361,30 @@ ORACLE_SQL |= {
 }
 for _name, _q in RANKED.items():
     QUERIES[_name] = lambda spark, sf_dir, q=_q: boolean.rank(_docs(spark, sf_dir), q).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def bool_stored(spark, sf_dir):
+    """The flagship's documents, from the index written once."""
+    path = scratch_folder(spark)
+    index.store(postings(spark, sf_dir), path)
+    return boolean.find_stored(spark, path, _docs(spark, sf_dir), FLAGSHIP)
+
+
+def bool_stored_not(spark, sf_dir):
+    path = scratch_folder(spark)
+    index.store(postings(spark, sf_dir), path)
+    return boolean.find_stored(spark, path, _docs(spark, sf_dir), BOOLEAN["bool_not"])
+
+
+def posting_list_digests(spark, sf_dir):
+    """The sorted list of every term."""
+    lists = index.posting_lists(postings(spark, sf_dir))
+    return lists.select("term", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"))
+
+
+QUERIES |= {f.__name__: f for f in (bool_stored, bool_stored_not, posting_list_digests)}
+ORACLE_SQL["bool_stored"], ORACLE_SQL["bool_stored_not"] = ORACLE_SQL["bool_nested"], ORACLE_SQL["bool_not"]
+ORACLE_SQL["posting_list_digests"] = f"SELECT term, count(*)::INT AS n, md5(string_agg((doc_id + 1)::VARCHAR, ',' ORDER BY doc_id)) AS ids_md5 FROM ({_POSTINGS}) GROUP BY term"
 _LEAF = f"SELECT doc_id, term, (1 + log10(tf)) * log10({_N} / count(*) OVER (PARTITION BY term)) AS w FROM ({_POSTINGS})"
 _W = lambda w: f"(SELECT doc_id, w FROM ({_LEAF}) WHERE term = '{w}' AND w <> 0)"
 ORACLE_SQL |= {
@@ -285,6 +420,23 @@ def query_score_multiset(spark, sf_dir):
     return tfidf.query_scores(_docs(spark, sf_dir), QUERY_TEXT, multiset=True).withColumn("score", F.round("score", 6))
 
 
+def query_top10(spark, sf_dir):
+    """The first ten documents of a query, its words as a set and as they stand."""
+    docs = _docs(spark, sf_dir)
+    parts = [tfidf.top_scores(docs, QUERY_TEXT, 10, m).select(F.lit(m).alias("multiset"), "rank", F.round("score", 6).alias("score")) for m in (False, True)]
+    return parts[0].unionAll(parts[1])
+
+
+def tfidf_binary(spark, sf_dir):
+    """Weights by presence alone."""
+    return tfidf.weights(_docs(spark, sf_dir), binary=True).select("doc_id", "term", *[F.round(c, 6).alias(c) for c in ("tf", "idf", "w")])
+
+
+def tfidf_domain(spark, sf_dir):
+    """Weights where some terms' inverse document frequency is 1."""
+    return tfidf.weights(_docs(spark, sf_dir), domain=DOMAIN).select("doc_id", "term", *[F.round(c, 6).alias(c) for c in ("tf", "idf", "w")])
+
+
 def cosine_neighbours(spark, sf_dir):
     """The ten most similar documents of every document whose id is divisible by 100."""
     docs = _docs(spark, sf_dir)
@@ -296,7 +448,7 @@ def most_similar_pair(spark, sf_dir):
     return tfidf.most_similar_pair(_docs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES |= {"tfidf": tfidf_weights} | {f.__name__: f for f in (doc_norms, query_score_set, query_score_multiset, cosine_neighbours, most_similar_pair)}
+QUERIES |= {"tfidf": tfidf_weights} | {f.__name__: f for f in (doc_norms, query_score_set, query_score_multiset, query_top10, tfidf_binary, tfidf_domain, cosine_neighbours, most_similar_pair)}
 _TFIDF = f"""
 SELECT *, tf * idf AS w FROM (SELECT doc_id, term, cnt / n AS tf, ln((SELECT count(*) FROM documents WHERE length(text) > 0) / count(*) OVER (PARTITION BY term)) AS idf
 FROM (SELECT doc_id, term, count(*) AS cnt, any_value(n) AS n FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT doc_id, {SQL_TOKENS['tfidf']} AS t FROM documents WHERE length(text) > 0)) GROUP BY doc_id, term))"""
@@ -304,6 +456,10 @@ ORACLE_SQL["tfidf"] = f"SELECT doc_id, term, round(tf, 6) AS tf, round(idf, 6) A
 ORACLE_SQL["doc_norms"] = f"SELECT doc_id, round(sqrt(sum(w * w)), 6) AS norm FROM ({_TFIDF}) GROUP BY doc_id"
 ORACLE_SQL["query_score_set"] = f"SELECT doc_id, round(sum(w), 6) AS score FROM ({_TFIDF}) WHERE term IN ({_sql(dict.fromkeys(QUERY_TEXT.split()))}) GROUP BY doc_id HAVING sum(w) > 1e-9"
 ORACLE_SQL["query_score_multiset"] = f"SELECT d.doc_id, round(coalesce(sum(w), 0), 6) AS score FROM documents d LEFT JOIN (SELECT doc_id, w FROM ({_TFIDF}) JOIN (SELECT unnest([{_sql(QUERY_TEXT.split())}]) AS term) USING (term)) x USING (doc_id) WHERE length(d.text) > 0 GROUP BY d.doc_id"
+_TOP10 = "SELECT {m} AS multiset, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, score FROM ({q}) ORDER BY rank LIMIT 10"
+ORACLE_SQL["query_top10"] = f"SELECT * FROM ({_TOP10.format(m='false', q=ORACLE_SQL['query_score_set'])}) UNION ALL SELECT * FROM ({_TOP10.format(m='true', q=ORACLE_SQL['query_score_multiset'])})"
+ORACLE_SQL["tfidf_binary"] = f"SELECT doc_id, term, 1.0::DOUBLE AS tf, round(idf, 6) AS idf, round(idf, 6) AS w FROM ({_TFIDF})"
+ORACLE_SQL["tfidf_domain"] = f"SELECT doc_id, term, round(tf, 6) AS tf, round(i, 6) AS idf, round(tf * i, 6) AS w FROM (SELECT doc_id, term, tf, CASE WHEN term IN ({_sql(DOMAIN)}) THEN 1.0 ELSE idf END AS i FROM ({_TFIDF}))"
 _UNIT = f"SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v FROM ({_TFIDF}) WHERE w <> 0"
 ORACLE_SQL["cosine_neighbours"] = f"""
 WITH u AS MATERIALIZED ({_UNIT})
@@ -348,21 +504,35 @@ def posting_member(spark, sf_dir):
 
 
 def posting_member_compressed(spark, sf_dir):
-    lists = index.encoded_lists(index.posting_lists(postings(spark, sf_dir)), "gamma")
+    segment = 1 << 12
+    lists = index.encoded_lists(index.list_segments(postings(spark, sf_dir), segment=segment), "gamma")
     wanted = _wanted(spark, sf_dir).select("term", (F.col("doc_id") + 1).alias("target"))
-    return index.member_compressed(lists, wanted, "gamma").select("term", (F.col("target") - 1).alias("doc_id"), "found")
+    return index.member_compressed(lists, wanted, "gamma", segment).select("term", (F.col("target") - 1).alias("doc_id"), "found")
+
+
+def _decoded(code):
+    """Every list segment coded and decoded again, number by number."""
+    decode = {"unary": codes.decode_unary, "gamma": codes.decode_gamma, "fibonacci": codes.decode_fibonacci}[code]
+
+    def query(spark, sf_dir):
+        coded = stored(index.encoded_lists(index.list_segments(postings(spark, sf_dir), segment=128), code))
+        got = coded.select("term", "seg", decode(F.col("bits")).alias("gaps"))
+        return got.select("term", "seg", F.array_join(F.transform("gaps", lambda x: x.cast("string")), " ").alias("gaps"))
+
+    return query
 
 
 QUERIES |= {f.__name__: f for f in (dgaps, code_gamma, code_fibonacci, code_unary, posting_sizes, posting_member, posting_member_compressed)}
+QUERIES |= {f"decoded_{c}": _decoded(c) for c in codes.ENCODERS}
 _GAPS = f"SELECT term, doc_id + 1 AS doc_id, doc_id + 1 - coalesce(lag(doc_id + 1) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM ({_POSTINGS})"
 ORACLE_SQL["dgaps"] = _GAPS
 _GAP_COUNTS = f"SELECT gap, count(*) AS cnt FROM ({_GAPS}) GROUP BY gap"
 _GAMMA = "repeat('1', length(bin(gap)) - 1) || '0' || substr(bin(gap), 2)"
 ORACLE_SQL["code_gamma"] = f"SELECT gap, cnt, {_GAMMA} AS code FROM ({_GAP_COUNTS})"
 ORACLE_SQL["code_unary"] = f"SELECT gap, cnt, repeat('1', gap - 1) || '0' AS code FROM ({_GAP_COUNTS})"
-_FIBS = ", ".join(map(str, codes.fibonacci_numbers(1 << 40)))
+_FIBS = ", ".join(map(str, codes.fibonacci_numbers(1 << 62)))
 _FIB = f"""
-WITH RECURSIVE f AS (SELECT unnest([{_FIBS}]) AS fib, unnest(range(1, {len(codes.fibonacci_numbers(1 << 40)) + 1})) AS i),
+WITH RECURSIVE f AS (SELECT unnest([{_FIBS}]) AS fib, unnest(range(1, {len(codes.fibonacci_numbers(1 << 62)) + 1})) AS i),
 g AS ({_GAP_COUNTS}),
 z AS (
   SELECT gap, gap AS rest, (SELECT max(i) FROM f) AS i, '' AS bits FROM g
@@ -374,7 +544,10 @@ ORACLE_SQL["posting_sizes"] = f"""{_FIB}, fc AS (SELECT gap, length(bits) + 1 AS
 s AS (SELECT 8 * (sum(length(doc_id::VARCHAR)) + count(*) - count(DISTINCT term)) AS text_bits, sum(gap) AS unary_bits, sum(length({_GAMMA})) AS gamma_bits, sum(fl) AS fibonacci_bits FROM r JOIN fc USING (gap))
 SELECT text_bits::BIGINT AS text_bits, unary_bits::BIGINT AS unary_bits, gamma_bits::BIGINT AS gamma_bits, fibonacci_bits::BIGINT AS fibonacci_bits,
   round(unary_bits / text_bits, 9) AS unary_ratio, round(gamma_bits / text_bits, 9) AS gamma_ratio, round(fibonacci_bits / text_bits, 9) AS fibonacci_ratio FROM s"""
-_MEMBER = f"WITH p AS MATERIALIZED ({_POSTINGS}), w AS (SELECT term, unnest([doc_id, doc_id + 1]) AS doc_id FROM p WHERE doc_id % 100 = 0) SELECT term, w.doc_id, p.doc_id IS NOT NULL AS found FROM w LEFT JOIN p USING (term, doc_id)"
+_SEG_GAPS = f"SELECT term, (doc_id + 1) // 128 AS seg, string_agg((doc_id + 1 - coalesce(before, 0))::VARCHAR, ' ' ORDER BY doc_id) AS gaps FROM (SELECT term, doc_id, lag(doc_id + 1) OVER (PARTITION BY term, (doc_id + 1) // 128 ORDER BY doc_id) AS before FROM ({_POSTINGS})) GROUP BY term, seg"
+ORACLE_SQL |= {f"decoded_{c}": _SEG_GAPS for c in codes.ENCODERS}
+_ASKED = f"SELECT term, doc_id FROM ({_POSTINGS}) WHERE doc_id % 100 = 0"
+_MEMBER = f"SELECT w.term, w.doc_id, p.tf IS NOT NULL AS found FROM ({_ASKED} UNION ALL SELECT term, doc_id + 1 FROM ({_ASKED})) w LEFT JOIN ({_POSTINGS}) p ON w.term = p.term AND w.doc_id = p.doc_id"
 ORACLE_SQL["posting_member"] = ORACLE_SQL["posting_member_compressed"] = _MEMBER
 
 
@@ -400,13 +573,60 @@ def knn_label_accuracy(spark, sf_dir):
     return embeddings.accuracy(named, truth).select("evaluated", F.round("top1", 6).alias("top1"), F.round("topk", 6).alias("topk"))
 
 
+def _reversal(spark, sf_dir):
+    """Pairs of each vector and its reverse."""
+    e = _table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return e.select(F.col("embedding").alias("x"), F.reverse("embedding").alias("y"), "vec_id")
+
+
+def map_pairs(spark, sf_dir):
+    """Pair matrices: a dictionary from each vector's name to the next one's, and one
+    more row of every tenth; names without a vector fall out."""
+    e = _table(spark, sf_dir, "embeddings")
+    words = e.select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
+    rows = e.select(F.col("vec_id").cast("string").alias("source_word"), (F.col("vec_id") + 1).cast("string").alias("target_word"), "vec_id")
+    both = rows.unionAll(rows.where("vec_id % 10 = 0")).drop("vec_id")
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, v: a + v)
+    return embeddings.pairs(words, words, both).select("source_word", "target_word", F.round(dot, 5).alias("dot"))
+
+
+def map_loss(spark, sf_dir):
+    """Loss and gradient of the map that changes nothing, over all pairs."""
+    import numpy as np
+
+    g = embeddings.gram(_reversal(spark, sf_dir).where("vec_id % 4 != 0"))
+    w = np.eye(len(g.a))
+    grad = g.gradient(w)
+    rows = [("loss", 0, 0, round(g.loss(w), 4)), ("pairs", 0, 0, float(g.n))]
+    rows += [("gradient", i, j, round(float(grad[i, j]), 4) + 0.0) for i in range(len(w)) for j in range(len(w))]
+    return spark.createDataFrame(rows, "kind string, i int, j int, value double")
+
+
+def translated_knn(spark, sf_dir):
+    """Vectors mapped by the reversal, and the five nearest to what comes out."""
+    import numpy as np
+
+    e = _table(spark, sf_dir, "embeddings").where("embedding is not null")
+    asked = e.where("vec_id % 100 = 0").select("vec_id", "embedding")
+    width = e.select(F.size("embedding")).first()[0]
+    path = scratch_folder(spark)
+    embeddings.save_map(np.eye(width)[::-1], spark, path)
+    mapped = embeddings.apply_map(asked, embeddings.load_map(spark, path), "embedding")
+    return embeddings.nearest(e, mapped, skip_self=False).select("query_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+def embedding_projection(spark, sf_dir):
+    """The first two principal components of every vector."""
+    e = _table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding")
+    return cbow.projection(e, 2, "embedding").select("vec_id", *[F.round(F.get("point", F.lit(i)), 4).alias(n) for i, n in enumerate("xy")])
+
+
 def procrustes_fit(spark, sf_dir):
     """The loss of maps from each vector to its reverse: fitted by descent, in closed
     form, and none."""
     import numpy as np
 
-    e = _table(spark, sf_dir, "embeddings").where("embedding is not null")
-    pairs = e.select(F.col("embedding").alias("x"), F.reverse("embedding").alias("y"), "vec_id")
+    pairs = _reversal(spark, sf_dir)
     train, test = embeddings.gram(pairs.where("vec_id % 4 != 0")), embeddings.gram(pairs.where("vec_id % 4 = 0"))
     fit = embeddings.fit_map(train, test)
     exact = embeddings.procrustes(train)
@@ -414,12 +634,22 @@ def procrustes_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "method string, train_loss double, test_loss double, epochs int")
 
 
-QUERIES |= {f.__name__: f for f in (embedding_norms, embedding_knn, knn_label_accuracy, procrustes_fit)}
+QUERIES |= {f.__name__: f for f in (embedding_norms, embedding_knn, knn_label_accuracy, map_pairs, map_loss, translated_knn, embedding_projection, procrustes_fit)}
 _NEAR = "SELECT q.vec_id AS query_id, q.label AS label, t.vec_id AS id, t.label AS found, list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS similarity, (row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, t.vec_id))::INT AS rank FROM embeddings q JOIN embeddings t ON q.vec_id % 100 = 0 AND q.vec_id <> t.vec_id QUALIFY rank <= 5"
 ORACLE_SQL["embedding_norms"] = "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings"
 ORACLE_SQL["embedding_knn"] = f"SELECT query_id, rank, round(similarity, 5) AS similarity FROM ({_NEAR})"
 ORACLE_SQL["knn_label_accuracy"] = f"SELECT count(*) AS evaluated, round(100 * avg(one::INT), 6) AS top1, round(100 * avg(five::INT), 6) AS topk FROM (SELECT query_id, bool_or(rank = 1 AND found = label) AS one, bool_or(found = label) AS five FROM ({_NEAR}) GROUP BY query_id)"
 
+_DICTIONARY = "SELECT vec_id, vec_id + 1 AS next FROM embeddings UNION ALL SELECT vec_id, vec_id + 1 FROM embeddings WHERE vec_id % 10 = 0"
+ORACLE_SQL["map_pairs"] = f"SELECT d.vec_id::VARCHAR AS source_word, d.next::VARCHAR AS target_word, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS dot FROM ({_DICTIONARY}) d JOIN embeddings a ON a.vec_id = d.vec_id JOIN embeddings b ON b.vec_id = d.next"
+ORACLE_SQL["map_loss"] = """
+WITH p AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x, list_reverse(embedding)::DOUBLE[] AS y, len(embedding) AS d FROM embeddings WHERE vec_id % 4 <> 0 AND embedding IS NOT NULL),
+u AS MATERIALIZED (SELECT vec_id, unnest(range(0, d)) AS i, unnest(x) AS x, unnest(y) AS y FROM p), n AS (SELECT count(*) AS n FROM p)
+SELECT 'loss' AS kind, 0 AS i, 0 AS j, round(sum((x - y) * (x - y)) / any_value(n), 4) AS value FROM u, n
+UNION ALL SELECT 'pairs', 0, 0, n::DOUBLE FROM n
+UNION ALL SELECT 'gradient', a.i::INT, b.i::INT, round(2 * sum((a.x - a.y) * b.x) / any_value(n), 4) + 0.0 FROM u a JOIN u b USING (vec_id), n GROUP BY a.i, b.i"""
+ORACLE_SQL["translated_knn"] = "SELECT query_id, rank, round(similarity, 5) AS similarity FROM (SELECT q.vec_id AS query_id, list_cosine_similarity(list_reverse(q.embedding)::DOUBLE[], t.embedding::DOUBLE[]) AS similarity, (row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, t.vec_id))::INT AS rank FROM embeddings q JOIN embeddings t ON q.vec_id % 100 = 0 QUALIFY rank <= 5)"
+
 
 # --- CBOW ---
 def cbow_vocab(spark, sf_dir):
@@ -465,7 +695,21 @@ def rouge_mean(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-QUERIES |= {f.__name__: f for f in (rouge_pairs, rouge_mean)}
+def rouge_first(spark, sf_dir):
+    """The mean over the evaluation subset, the first thousand pairs."""
+    keys = ["conv_id", "turn"]
+    first = overlap.first_pairs(overlap.dialogue_pairs(_table(spark, sf_dir, "conversations")), keys)
+    out = overlap.mean_f1(stored(first), keys)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+def rouge_stemmed(spark, sf_dir):
+    """Overlap of stems, per pair."""
+    pairs, keys = overlap.dialogue_pairs(_table(spark, sf_dir, "conversations")), ["conv_id", "turn"]
+    return overlap.scores(pairs, keys, 1, overlap.stemmed_tokens).select(*keys, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+QUERIES |= {f.__name__: f for f in (rouge_pairs, rouge_mean, rouge_first, rouge_stemmed)}
 _DIALOGUE = "SELECT a.conv_id, a.turn, a.text AS r, b.text AS p FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant' WHERE trim(a.text) <> '' AND trim(b.text) <> ''"
 
 
@@ -484,27 +728,6 @@ _SIX = lambda n: ", ".join(f"round({c}, 6) AS {c}_{n}" for c in ("precision", "r
 ORACLE_SQL["rouge_pairs"] = f"SELECT * FROM (SELECT conv_id, turn, {_SIX(1)} FROM ({_overlap_sql(1)})) JOIN (SELECT conv_id, turn, {_SIX(2)} FROM ({_overlap_sql(2)})) USING (conv_id, turn)"
 ORACLE_SQL["rouge_mean"] = f"SELECT round(a.f, 6) AS f1_1, round(b.f, 6) AS f1_2 FROM (SELECT coalesce(avg(f1), 0) AS f FROM ({_overlap_sql(1)})) a, (SELECT coalesce(avg(f1), 0) AS f FROM ({_overlap_sql(2)})) b"
 
-
-# --- files ---
-def split_parts(spark, sf_dir):
-    """Every document as a file in at most five parts."""
-    files = _docs(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.replace("text", F.lit("\r"), F.lit(" ")).alias("text"))
-    out = text_source.split_parts(files.where("length(text) > 0"), 5)
-    return out.select("part_file", "n_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-
-
-def generated_postings(spark, sf_dir):
-    """The size of the seeded posting generator's table."""
-    p = text_source.random_postings(spark)
-    return p.agg(F.count("*").alias("n_pairs"), F.countDistinct("term", "doc_id").alias("n_different"), F.countDistinct("term").alias("n_terms"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-
-
-QUERIES |= {f.__name__: f for f in (split_parts, generated_postings)}
-ORACLE_SQL["split_parts"] = r"""
-WITH d AS (SELECT doc_id, string_split(replace(text, chr(13), ' '), chr(10)) AS a FROM documents WHERE length(text) > 0),
-l AS (SELECT doc_id, CASE WHEN a[len(a)] = '' THEN a[1 : len(a) - 1] ELSE a END AS ls FROM d),
-s AS (SELECT doc_id, ls, (len(ls) + 4) // 5 AS k FROM l WHERE len(ls) > 0),
-p AS (SELECT doc_id, k, ls, unnest(range(0, (len(ls) + k - 1) // k)) AS i FROM s)
-SELECT 'doc' || doc_id || '_part_' || lpad((i + 1)::VARCHAR, 2, '0') || '.txt' AS part_file, len(ls[i * k + 1 : (i + 1) * k])::INT AS n_lines,
-  md5(array_to_string(ls[i * k + 1 : (i + 1) * k], chr(10)) || chr(10)) AS text_md5 FROM p"""
-ORACLE_SQL["generated_postings"] = "SELECT 1000000::BIGINT AS n_pairs, 1000000::BIGINT AS n_different, 1000::BIGINT AS n_terms, 1::BIGINT AS first_doc, 10000::BIGINT AS last_doc"
+_ALL_PAIRS = "SELECT a.conv_id, a.turn, a.text AS r, b.text AS p FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'"
+_FIRST = f"SELECT * FROM ({_ALL_PAIRS} ORDER BY a.conv_id, a.turn LIMIT 1000) WHERE trim(r) <> '' AND trim(p) <> ''"
+ORACLE_SQL["rouge_first"] = ORACLE_SQL["rouge_mean"].replace(_DIALOGUE, _FIRST)

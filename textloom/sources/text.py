@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def whole_files(spark: SparkSession, path: str, glob: str = "*.txt", skip: tuple[str, ...] = (), keep_empty: bool = False) -> DataFrame:
     """file, text of the files in a folder whose names fit the glob, UTF-8.  Empty
     files are no documents; a missing folder has none if Spark is told to ignore it."""
-    rows = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     if skip:
         rows = rows.where(~F.col("file").isin(*skip))
     return rows if keep_empty else rows.where(F.length("text") > 0)
@@ -65,33 +65,61 @@ def split_parts(files: DataFrame, parts: int) -> DataFrame:
     return rows.select("file", "part", F.concat(stem, F.lit("_part_"), number, suffix).alias("part_file"), F.size(own).alias("n_lines"), F.concat(F.array_join(own, "\n"), F.lit("\n")).alias("text"))
 
 
-def write_parts(parts: DataFrame, path: str) -> None:
-    """A folder per part file, each with its lines as UTF-8 text."""
-    parts.select("part_file", F.explode(_lines(F.col("text"))).alias("value")).repartition("part_file").write.mode("overwrite").partitionBy("part_file").text(path)
+def write_files(files: DataFrame, folder: str, name: str = "file", encoding: str = "utf-8") -> DataFrame:
+    """Write each row's text under its name into one folder (a URI that Arrow's file
+    systems reach), by the tasks themselves.  Returns name and the number of bytes.  A
+    task that runs again writes the same bytes under the same name."""
+    import pyarrow as pa
+
+    def run(batches):
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder)
+        where.create_dir(base, recursive=True)
+        for rb in batches:
+            sizes = []
+            for file, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                data = (text or "").encode(encoding)
+                with where.open_output_stream(f"{base}/{file}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(sizes, pa.int64())], names=["file", "n_bytes"])
+
+    done = files.select(F.col(name).alias("file"), "text").mapInArrow(run, "file string, n_bytes long")
+    rows = done.persist()
+    rows.count()
+    return rows
+
+
+def write_parts(parts: DataFrame, folder: str) -> DataFrame:
+    """The rows of split_parts() as files of their names."""
+    return write_files(parts, folder, "part_file")
 
 
 def word_vectors(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """word, vec of a text file with a word and its numbers on each line, after an
-    optional line with count and width.  Lines of another width, or with something
-    that is no number, are skipped; of a word's lines the last counts.  `limit`: only
-    so many vectors from the start of the file.
-
-    The width is the header's or else that of the first line.  The line's place is the
-    row's number in file order."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.split("value", " ").alias("p"))
-    first = lines.orderBy("line").limit(1).collect()  # one line
+    """word, vec of a text file (or a folder's, by their names) with a word and its
+    numbers on each line, after an optional line with count and width.  Lines of another
+    width, or with something that is no number, are skipped; of a word's lines the last
+    counts.  `limit`: only so many vectors from the start.
+
+    The width is the header's or else that of the first line.  Spark reads the larger
+    files and blocks first, so a line's place is its file, its block and its number."""
+    place = ("file", "block", "line")
+    found = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.split("value", " ").alias("p"))
+    first = found.orderBy(*place).limit(1).collect()  # one line
     if not first:
         return spark.createDataFrame([], "word string, vec array<float>")
     head = first[0].p
     has_header = len(head) == 2 and all(x.isdigit() for x in head)
     width = int(head[1]) if has_header else len([x for x in head[1:] if x])
-    body = lines.where(F.col("line") > first[0].line) if has_header else lines
+    is_first = (F.col("file") == first[0].file) & (F.col("block") == first[0].block) & (F.col("line") == first[0].line)
+    body = found.where(~is_first) if has_header else found
     numbers = F.filter(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: x != "")
-    rows = body.select("line", F.get("p", F.lit(0)).alias("word"), F.transform(numbers, lambda x: x.try_cast("float")).alias("vec"))
+    rows = body.select(*place, F.get("p", F.lit(0)).alias("word"), F.transform(numbers, lambda x: x.try_cast("float")).alias("vec"))
     rows = rows.where((F.size("vec") == width) & ~F.exists("vec", lambda x: x.isNull()))
     if limit is not None:
-        rows = rows.orderBy("line").limit(limit)
-    return rows.groupBy("word").agg(F.max_by("vec", "line").alias("vec"))
+        rows = rows.orderBy(*place).limit(limit)
+    return rows.groupBy("word").agg(F.max_by("vec", F.struct(*place)).alias("vec"))
 
 
 def translation_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -119,16 +147,70 @@ def random_documents(spark: SparkSession, n_docs: int, vocabulary: int = 500, le
     return spark.range(n_docs).select(F.col("id").alias("doc_id")).select("doc_id", F.array_join(F.transform(F.sequence(F.lit(1), length), word), " ").alias("text"))
 
 
+_PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+
+
+def keyed_round(key: str, constants: tuple[int, int, int, int]) -> str:
+    """The SQL of a number below 2^31 drawn by a key: two linear steps modulo different
+    primes."""
+    a, b, c, e = constants
+    return f"((({key} * {a} + {b}) % {_PRIMES[0]}) * {c} + {e}) % {_PRIMES[1]}"
+
+
+def round_constants(seed: int, rounds: int = 6) -> list[tuple[int, int, int, int]]:
+    """Numbers of the keyed rounds of random_postings(), from the seed alone."""
+    import random
+
+    rng = random.Random(seed)
+    return [tuple(rng.randrange(1 << 20, 1 << 31) for _ in range(4)) for _ in range(rounds)]
+
+
 def random_postings(spark: SparkSession, n_terms: int = 1000, n_docs: int = 10_000, n_pairs: int = 1_000_000, seed: int = 0) -> DataFrame:
     """term, doc_id: exactly n_pairs different pairs (or all there are), ids from 1.
-    Pair numbers go through a bijection of the whole range (a step that has no
-    divisor in common with it), so no pair is drawn twice and nothing is shuffled."""
-    import math
 
+    Pair numbers go through a keyed permutation of all pairs: a pair (term, document)
+    has a hash of one part added to the other, by turns (a Feistel network over two
+    ranges), so no pair is drawn twice and nothing is shuffled."""
     total = n_terms * n_docs
-    step = (total * 618 // 1000 + seed) | 1
-    while math.gcd(step, total) != 1:
-        step += 2
-    pair = F.pmod(F.col("id").cast("decimal(38,0)") * F.lit(step) + F.lit(seed), F.lit(total)).cast("long")
-    rows = spark.range(min(n_pairs, total)).select(pair.alias("x"))
-    return rows.select(F.concat(F.lit("term"), F.expr(f"x div {n_docs}").cast("string")).alias("term"), (F.col("x") % n_docs + 1).alias("doc_id"))
+    rows = spark.range(min(n_pairs, total)).selectExpr(f"id div {n_docs} as t", f"id % {n_docs} as d")
+    for i, constants in enumerate(round_constants(seed)):
+        key, to, size = ("t", "d", n_docs) if i % 2 == 0 else ("d", "t", n_terms)
+        rows = rows.selectExpr(key, f"({to} + {keyed_round(key, constants)}) % {size} as {to}")
+    return rows.select(F.concat(F.lit("term"), F.col("t").cast("string")).alias("term"), (F.col("d") + 1).alias("doc_id"))
+
+
+# The sample corpus's words and its seven documents for tests of queries.
+SAMPLE_WORDS = (
+    "informace", "vyhledávání", "index", "dokument", "text", "data",
+    "systém", "model", "korpus", "slovo", "analýza", "počítač",
+    "algoritmus", "web", "stránka", "dotaz", "výsledek", "relevantní",
+    "unikátní", "specifický", "vzácný", "běžný",
+)
+SAMPLE_ENDING = ("je", "to", "test", "pro", "a", "na", "index", "dokument")
+SAMPLE_DOCUMENTS = (
+    "informace o vyhledávání a indexech jsou základ",
+    "systém pro analýzu dat a relevantní informace",
+    "vyhledávání informací na webu pomocí systému",
+    "dokumenty a texty bez systému, pouze data",
+    "index a data, data, data!",
+    "velmi specifický unikátní dokument o ničem jiném",
+    "běžný text obsahující běžný systém",
+)
+
+
+def sample_corpus(spark: SparkSession, n_docs: int, seed: int = 0) -> DataFrame:
+    """doc_id, text: n_docs documents of the sample words (half drawn freely, half drawn
+    again from those, all with the ending's words, in random order), then the seven.
+    Every value is a hash of its place and the seed."""
+    half = (F.floor(_uniform(F.lit("length"), F.col("doc_id"), F.lit(seed)) * 26 + 15) / 2).cast("int")
+    words = F.array(*[F.lit(w) for w in SAMPLE_WORDS])
+    pick = lambda kind, i, n: F.floor(_uniform(F.lit(kind), F.col("doc_id"), i, F.lit(seed)) * n).cast("int")
+    drawn = F.transform(F.sequence(F.lit(1), F.col("half")), lambda i: F.get(words, pick("word", i, len(SAMPLE_WORDS))))
+    again = F.concat(F.col("drawn"), F.array(F.lit("test"), F.lit("pro"), F.lit("a")))
+    more = F.transform(F.sequence(F.lit(1), F.col("half")), lambda i: F.get(F.col("again"), pick("again", i, F.size("again"))))
+    every = F.concat("drawn", more, F.array(*[F.lit(w) for w in SAMPLE_ENDING]))
+    placed = F.transform(every, lambda w, i: F.struct(_uniform(F.lit("place"), F.col("doc_id"), i, F.lit(seed)).alias("at"), w.alias("w")))
+    text = F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
+    rows = spark.range(n_docs).select(F.col("id").alias("doc_id")).withColumn("half", half).withColumn("drawn", drawn).withColumn("again", again)
+    last = spark.createDataFrame([(n_docs + i, t) for i, t in enumerate(SAMPLE_DOCUMENTS)], "doc_id long, text string")
+    return rows.select("doc_id", text.alias("text")).unionAll(last)
