@@ -50,7 +50,9 @@ def token_units(token: bytes) -> tuple[int, int]:
 
 
 class TokenUnits(dict):
-    limit = 300_000
+    """Buckets of tokens seen before; a token takes some 200 bytes."""
+
+    limit = 600_000
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.limit:
@@ -60,6 +62,14 @@ class TokenUnits(dict):
         return n
 
 
+_MEMORY = TokenUnits()
+
+
+def unit_memory() -> TokenUnits:
+    """The memory of this worker, kept from task to task."""
+    return _MEMORY
+
+
 def unit_stream(texts: list[bytes], memory: TokenUnits) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all units in order, and the texts' ends in them."""
     cut = [t.split() for t in texts]
@@ -90,7 +100,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
         place, sign = index_vectors()
         total = np.zeros(BUCKETS * WIDTH)
-        memory = TokenUnits()
+        memory = unit_memory()
         for rb in batches:
             raw = rb.column(0).to_pylist()
             for a, b in slices(raw, 4_000_000):
@@ -100,10 +110,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 apart = np.ones(len(u) - 1, bool)
                 inner = ends[1:-1]
                 apart[inner[(inner > 0) & (inner < len(u))] - 1] = False
-                left, right = u[:-1][apart], u[1:][apart]
+                # Neighbours return often: each pair is worked out once, with its count.
+                pair, n = np.unique(u[:-1][apart] << 15 | u[1:][apart], return_counts=True)
+                left, right = pair >> 15, pair & (BUCKETS - 1)
                 for k in range(NONZERO):
                     for x, y in ((left, right), (right, left)):
-                        total += np.bincount(x * WIDTH + place[y, k], weights=sign[y, k], minlength=BUCKETS * WIDTH)
+                        total += np.bincount(x * WIDTH + place[y, k], weights=n * sign[y, k], minlength=BUCKETS * WIDTH)
         part = TaskContext.get().partitionId()
         blobs = [zlib.compress(total[i * rows * WIDTH : (i + 1) * rows * WIDTH].astype("<i8").tobytes(), 1) for i in range(BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array([part] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block", "data"])
@@ -129,6 +141,15 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _sums(both: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: int = 512) -> np.ndarray:
+    """Sums of the units' rows for texts of units[start:end], no text empty: in single
+    precision over short runs, whose sums are added in double."""
+    parts = -(-(ends - starts) // run)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(starts - first * run, parts) + np.arange(int(parts.sum())) * run
+    return np.add.reduceat(np.add.reduceat(both[units], cuts).astype(np.float64), first)
+
+
 def pool(docs: DataFrame, vectors: np.ndarray, id_column: str = "doc_id") -> DataFrame:
     """Per row its id and `pooled` array<float>: mean and spread of the vectors of
     its units, separately for shapes and words."""
@@ -138,19 +159,20 @@ def pool(docs: DataFrame, vectors: np.ndarray, id_column: str = "doc_id") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # 4 MB, whatever the input
 
     def run(batches):
-        table, memory = shared.value, TokenUnits()
+        table, memory = shared.value, unit_memory()
+        both = np.concatenate([table, table * table], 1)
         for rb in batches:
             raw = rb.column(1).to_pylist()
             for a, b in slices(raw, 3_000_000):
                 u, ends = unit_stream(raw[a:b], memory)
                 n, parts = b - a, []
                 full = np.flatnonzero(np.diff(ends))
-                for v in (table[u[::2]], table[u[1::2]]):
-                    at, count = ends[full] // 2, (np.diff(ends)[full] // 2)[:, None]
-                    mean, square = np.zeros((n, WIDTH), np.float32), np.zeros((n, WIDTH), np.float32)
+                for units in (u[::2], u[1::2]):
+                    at = np.zeros((n, 2 * WIDTH))
                     if len(full):
-                        mean[full] = np.add.reduceat(v, at, dtype=np.float64) / count
-                        square[full] = np.add.reduceat(v * v, at, dtype=np.float64) / count
+                        starts, stops = ends[full] // 2, ends[full + 1] // 2
+                        at[full] = _sums(both, units, starts, stops) / (stops - starts)[:, None]
+                    mean, square = at[:, :WIDTH], at[:, WIDTH:]
                     parts += [mean, np.sqrt(np.maximum(square - mean * mean, 0))]
                 flat = np.concatenate(parts, 1).astype(np.float32)
                 of = pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1])
