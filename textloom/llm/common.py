@@ -117,6 +117,17 @@ def text_bytes(docs: DataFrame, column: str = "text"):
     return F.coalesce(docs[column].cast("string"), F.lit("")).cast("binary")
 
 
+def free_memory() -> None:
+    """Give what a task has freed back to the system, where its C library can: a worker
+    lives on for the next tasks, which may be the JVM's alone."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHash(dict):
     """64-bit hashes of words; a bounded memory of those seen before."""
 

@@ -32,9 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, slices, text_bytes
+from .common import free_memory, mix, prepare, slices, text_bytes
 
 _BITS = 16
+#: Longer words are scored like others, but training does not draw them.
+_TRAINED = 64
+#: Bytes of text that are worked on at once; the tables of a slice take some 100 times that.
+_SLICE = 1_000_000
 
 
 def bare(word: str) -> str:
@@ -124,7 +128,7 @@ def train(samples: list[tuple[str, str]], steps: int = 250, batch: int = 48, len
     rng = np.random.default_rng(seed)
     own = [[t for t, x in samples if x == lang] for lang in langs]
     _learn_lexicon(model, [(t, i) for i, ts in enumerate(own) for t in ts[::2]])
-    docs = [[d for d in ([w for w in map(bare, t.split()) if w] for t in ts[1::2] or ts) if d] for ts in own]
+    docs = [[d for d in ([w for w in map(bare, t.split()) if 0 < len(w) <= _TRAINED] for t in ts[1::2] or ts) if d] for ts in own]
     docs = [d or [["-"]] for d in docs]
     sums = np.full_like(model.weights, 1e-6)
     t_sum, s_sum = np.full((n, n), 1e-6), 1e-6
@@ -350,13 +354,15 @@ def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", run
         p = Predictor(model) if model else None
         for rb in batches:
             raw = rb.column(1).to_pylist()
-            for a, b in slices(raw, 3_000_000):
+            for a, b in slices(raw, _SLICE):
                 texts = raw[a:b]
                 lang, score = p.predict(texts) if p else (["und"] * len(texts), [0.0] * len(texts))
                 cols = [rb.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
                 if runs:
                     cols.append(pa.array(p.runs(texts) if p else [[]] * len(texts), of_run))
                 yield pa.RecordBatch.from_arrays(cols, names=[id_column, "lang_pred", "score", "runs"][: len(cols)])
+        p = None
+        free_memory()
 
     schema = f"`{id_column}` {kind}, lang_pred string, score double" + ", runs array<struct<lang:string,start_word:int,end_word:int>>" * runs
     return docs.select(docs[id_column], text_bytes(docs).alias("_text")).mapInArrow(run, schema)
@@ -372,13 +378,15 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) ->
         for s in texts:
             raw = [(t or "").encode() for t in s]
             out = []
-            for a, b in slices(raw, 3_000_000):
+            for a, b in slices(raw, _SLICE):
                 if p:
                     lang, score = p.predict(raw[a:b])
                     out += [x != "und" and y >= least for x, y in zip(lang, score, strict=True)]
                 else:
                     out += [False] * (b - a)
             yield pd.Series(out, dtype=bool)
+        p = None
+        free_memory()
 
     return docs.where(known(docs["text"]))
 
