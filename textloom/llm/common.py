@@ -3,17 +3,17 @@ hashing in bulk, and the merging of per-partition blocks."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
 import threading
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import remove as _remove
+from ..storage import scratch_folder as shared_dir
+
 #: Rows of an Arrow batch handed to Python; texts may be long, so far below
 #: Spark's 10,000.
 BATCH_ROWS = 1000
@@ -27,32 +27,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names in
-    spark.checkpoint.dir; where that is unset, a local one if driver and executors
-    are one process (tests), else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
-        base = getattr(shared_dir, "local", None)
-        if base is None:
-            base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    path = f"{base.rstrip('/')}/textloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended; a cluster's folder is cleaned by its owner
-        pass
-
-
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
