@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, free_names, materialize, mix, prepare, rolling, slices, starts_within, hashed_words, text_bytes
+from .common import WordHash, free_memory, free_names, materialize, mix, prepare, rolling, slices, starts_within, hashed_words, text_bytes
 from .components import components
 
 WORDS, PLACES, BANDS, ROWS, LEAST = 5, 125, 25, 5, 0.8
@@ -166,6 +166,8 @@ def _signed(docs: DataFrame) -> DataFrame:
                 of = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
                 nodes = pa.array([node_of(t) for t in raw[a:b]], pa.binary())
                 yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), nodes, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(of), pa.array(keys))], names=["doc_id", "node", "n_words", "bands"])
+        memory.clear()
+        free_memory()
 
     return docs.select("doc_id", text_bytes(docs).alias("_text")).mapInArrow(run, f"doc_id {kind}, node binary, n_words long, bands array<long>")
 
