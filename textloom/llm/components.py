@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     before = mark = None
     while before is None or mark != before:
         before = mark or ()
-        now = materialize(_small_star(_large_star(now)))
+        last, now = now, materialize(_small_star(_large_star(now)))
+        discard(last)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, free_memory, free_names, materialize, mix, prepare, rolling, slices, starts_within, hashed_words, text_bytes
+from .common import WordHash, discard, free_memory, free_names, materialize, mix, prepare, rolling, slices, starts_within, hashed_words, text_bytes
 from .components import components
 
 WORDS, PLACES, BANDS, ROWS, LEAST = 5, 125, 25, 5, 0.8
@@ -343,23 +343,29 @@ def _classes(docs: DataFrame, *also: str) -> DataFrame:
     members = materialize(nodes.select("node", F.explode("bands").alias("key")).groupBy("key", "node").agg(F.lit(1).alias("one")).select("key", "node"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(members.join(sizes, "key"))
+    discard(members)
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     pivots = met.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     shared = materialize(met.join(pivots, "key").select("key", "node", "pivot"))
+    discard(met)
     star = materialize(shared.where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct())
     wanted = star.select(F.col("u").alias("node")).unionAll(star.select(F.col("v").alias("node"))).distinct()
     ids = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     table = materialize(_shingle_table(docs, ids.join(wanted, "node")))
     compared = materialize(_similarities(star, table, rest=True))
+    discard(star)
     comp = materialize(components(_similar(compared)))
 
     placed = materialize(shared.join(comp, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component")))
+    discard(shared, comp)
     open_ = placed.join(_mixed(placed, "key"), "key", "left_semi")
     # A pivot was compared with all of its bucket: it takes no further part there.
     open_ = open_.where("node != pivot").select("pivot", "node", "component").distinct()
     off = materialize(_off_core(open_, compared))
+    discard(placed)
     rest = _pairs_on_core(off).unionAll(_pairs_off_core(off)).distinct()
     more = materialize(_similarities(rest, table))
+    discard(off, table)
     links = _similar(compared).unionAll(_similar(more)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     comp = components(links)
 
@@ -368,6 +374,7 @@ def _classes(docs: DataFrame, *also: str) -> DataFrame:
     named = named.select("node", "doc_id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = materialize(named.join(least, "component").select("node", "class_id", "n_links", *also))
+    discard(compared, more)
     out = signed.select("doc_id", "node", "n_words").join(named, "node", "left")
     return out.select("doc_id", "node", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *also)
 
