@@ -131,7 +131,7 @@ def fit_map(train: Gram, test: Gram, epochs: int = 1000, rate: float = 1.0, deca
 
 def map_rows(w: np.ndarray, spark) -> DataFrame:
     """row, values of a map, to be written as a table."""
-    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(w)], "row int, values array<float>")
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(w)], "row int, values array<double>")
 
 
 def save_map(w: np.ndarray, spark, path: str) -> None:
