@@ -15,6 +15,19 @@ def test_stages_on_odd_rows(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
 
 
+def test_stages_start_with_small_heaps(spark, sf):
+    """Each stage has the heaps collected in full, and so shrunk, before its own work."""
+    beans = spark._jvm.java.lang.management.ManagementFactory
+
+    def full():
+        return sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, empty_docs(spark), sf)
+        assert full() > before, name
+
+
 def test_run(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
