@@ -283,3 +283,23 @@ def test_short_items(spark, tmp_path):
     assert got == [(0, 0, 0, 8, 20), (0, 4, 0, 20, 21), (2, 1, 0, 9, 12), (2, 8, 0, 9, 12), (5, 3, 0, 2, 4), (6, 1, 0, 4, 7), (6, 8, 0, 4, 7), (8, 1, 0, 10, 13), (8, 7, 0, 0, 1), (8, 8, 0, 10, 13)]
     kept = corpus_pipeline.drop_benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4, 7}
+
+
+def test_sums_of_units_count_the_frequent_ones():
+    """Like plain sums in double precision, exactly so for frequent units, and without a
+    row for every unit in memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    both = rng.normal(size=(quality_model.BUCKETS, 2 * quality_model.WIDTH)).astype(np.float32)
+    ends = np.cumsum([1, 700, 3, *[4000] * 100])
+    starts = np.concatenate([[0], ends[:-1]])
+    few = rng.integers(0, 300, ends[-1])
+    many = np.where(rng.random(ends[-1]) < 0.5, few, rng.integers(0, quality_model.BUCKETS, ends[-1]))
+    for units, off in ((few, 1e-9), (many, 1e-3)):
+        want = np.stack([both[units[a:b]].sum(0, dtype=np.float64) for a, b in zip(starts, ends, strict=True)])
+        tracemalloc.start()
+        got = quality_model._sums(both, units, starts, ends)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.abs(got - want).max() < off and peak < 60e6

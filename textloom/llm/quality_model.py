@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -37,12 +38,15 @@ from .toxicity import labelled
 BUCKETS, WIDTH, NONZERO, BLOCKS = 1 << 15, 32, 4, 16
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _REPEAT = xxhash.xxh32_intdigest("\0repeat") % BUCKETS
+_LOWER = xxhash.xxh32_intdigest("\0|l|") % BUCKETS
 
 
 def token_units(token: bytes) -> tuple[int, int]:
     """The buckets of a token's shape and of its word."""
+    if token.isalpha() and token.islower():  # ASCII letters alone
+        return _LOWER, xxhash.xxh32_intdigest(token) % BUCKETS
     t = token.decode("utf-8", "replace")
-    core = _EDGE.sub("", t)
+    core = t if t.isalnum() else _EDGE.sub("", t)
     at = t.find(core) if core else 0
     case = "0" if not core else "U" if core.isupper() and len(core) > 1 else "c" if core[:1].isupper() else "l" if core.isalpha() else "m"
     shape = f"\0{t[:at][:4]}|{case}|{t[at + len(core):][:4] if core else t[:4]}"
@@ -74,7 +78,7 @@ def unit_stream(texts: list[bytes], memory: TokenUnits) -> tuple[np.ndarray, np.
     """Buckets of all units in order, and the texts' ends in them."""
     cut = [t.split() for t in texts]
     sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    both = np.fromiter((x for c in cut for x in map(memory.__getitem__, c)), np.int64, int(sizes.sum()))
+    both = np.fromiter(map(memory.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
     ends = np.concatenate([[0], np.cumsum(sizes)])
     same = np.zeros(len(both), bool)
     same[1:] = both[1:] == both[:-1]
@@ -141,13 +145,32 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sums(both: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: int = 512) -> np.ndarray:
-    """Sums of the units' rows for texts of units[start:end], no text empty: in single
-    precision over short runs, whose sums are added in double."""
-    parts = -(-(ends - starts) // run)
-    first = np.cumsum(parts) - parts
-    cuts = np.repeat(starts - first * run, parts) + np.arange(int(parts.sum())) * run
-    return np.add.reduceat(np.add.reduceat(both[units], cuts).astype(np.float64), first)
+def _sums(both: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: int = 512, often: int = 512) -> np.ndarray:
+    """Sums of the units' rows for texts that lie one after another, units[start:end],
+    none empty: for the `often` most frequent units by their counts in each text, in
+    double precision; for the others in single precision over short runs, whose sums are
+    added in double."""
+    n = len(starts)
+    owner = np.repeat(np.arange(n), ends - starts)
+    units = units[starts[0] : ends[-1]]
+    found = np.bincount(units, minlength=len(both))
+    top = np.argpartition(found, -often)[-often:] if often < len(found) else np.arange(len(found))
+    top = top[found[top] > 0]
+    place = np.full(len(both), -1)
+    place[top] = np.arange(len(top))
+    at = place[units]
+    hit = at >= 0
+    counts = np.bincount(owner[hit] * len(top) + at[hit], minlength=n * len(top)).reshape(n, len(top))
+    total = counts.astype(np.float64) @ both[top].astype(np.float64)
+    rest = units[~hit]
+    stop = np.cumsum(np.bincount(owner[~hit], minlength=n)).tolist()
+    one, a = np.ones(run, both.dtype), 0
+    for i, b in enumerate(stop):
+        for j in range(a, b, run):
+            k = min(b, j + run)
+            total[i] += one[: k - j] @ both[rest[j:k]]
+        a = b
+    return total
 
 
 def pool(docs: DataFrame, vectors: np.ndarray, id_column: str = "doc_id") -> DataFrame:
@@ -163,7 +186,7 @@ def pool(docs: DataFrame, vectors: np.ndarray, id_column: str = "doc_id") -> Dat
         both = np.concatenate([table, table * table], 1)
         for rb in batches:
             raw = rb.column(1).to_pylist()
-            for a, b in slices(raw, 3_000_000):
+            for a, b in slices(raw, 3_000_000, 4_000):
                 u, ends = unit_stream(raw[a:b], memory)
                 n, parts = b - a, []
                 full = np.flatnonzero(np.diff(ends))
