@@ -281,3 +281,25 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     # the least node of a component may be left out: it is its own
     assert all(want[x] == c for x, c in got.items()) and all(x in got or want[x] == x for x in want)
+
+
+def test_few_pairs_under_a_much_repeated_line(spark, monkeypatch):
+    """Texts of one line many times and words of their own, just below the threshold: the
+    classes are those of brute force, and few pairs are compared one by one."""
+    rng = random.Random(8)
+    own = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    line, pools = "one more line \n" * 150, [own(9) for _ in range(3)]
+    docs = [(i, line + own(60 + i % 50) + "\n" + pools[i % 3] + "\n" + ("and a last line with the same words in most" if i % 4 else own(9))) for i in range(90)]
+    docs += [(90 + i, line + own(2)) for i in range(3)] + [(100 + i, docs[5 * i][1] + " " + own(3)) for i in range(5)]
+    compared, plain = [], near_dups._similarities
+
+    def counted(pairs, table, rest=False):
+        out = plain(pairs, table, rest)
+        if not rest:
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "_similarities", counted)
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == classes_of(docs)
+    assert len(set(got.values())) > 20 and compared[0] < 300, compared

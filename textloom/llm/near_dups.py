@@ -22,7 +22,8 @@ which together lose none that reaches 0.8:
   mass is bounded by each one's mass on the core, so a node for which no size in its
   bucket fits the bound is left out before anything is paired.  1 - J_P is a metric
   (J_P is a collision probability), so two nodes whose similarities to the pivot
-  differ by more than 0.2 are no pair either;
+  differ by more than 0.2 are no pair either, nor are two whose counts, taken together
+  in classes of the pivot's shingles, have a J_P below 0.8 (`_coarse`);
 * pairs with a common shingle off the core: joined on those shingles, each of which
   at most `_HOT` nodes have, by prefixes.  The bound says how many such shingles two
   nodes of given sizes need; with shingles in one order (rarest first), each node
@@ -197,10 +198,11 @@ def _similarities(pairs: DataFrame, table: DataFrame, rest: bool = False) -> Dat
     """u, v, sim of the pairs(u, v); with `rest` also on_u, all_v, extra_v (v's
     counts: those of shingles that u has, all, and those above one), rest_v, the
     shingles of v that u lacks, n_u, the number of u's shingles, and miss_v, how many of
-    them v lacks in each of 32 hash classes."""
+    them v lacks in each of 32 hash classes, part_v, v's counts of them in each of those
+    classes, and off_extra_v, v's counts above one of shingles that u lacks."""
     import pyarrow as pa
 
-    names = ["u", "v", "sim", "on_u", "all_v", "extra_v", "rest_v", "n_u", "miss_v"]
+    names = ["u", "v", "sim", "on_u", "all_v", "extra_v", "rest_v", "n_u", "miss_v", "part_v", "off_extra_v"]
 
     def run(batches):
         for rb in batches:
@@ -223,11 +225,14 @@ def _similarities(pairs: DataFrame, table: DataFrame, rest: bool = False) -> Dat
                 missed = [np.bincount((gu[~np.isin(gu, gv, assume_unique=True)] & np.uint64(31)).astype(np.int64), minlength=32) for gu, _, gv, _ in zip(*lists, strict=True)]
                 of = pa.array(np.arange(len(missed) + 1, dtype=np.int32) * 32)
                 cols += [pa.array([len(g) for g in lists[0]], pa.int64()), pa.ListArray.from_arrays(of, pa.array((np.concatenate(missed) if missed else np.zeros(0)).astype(np.int32)))]
+                parts = [np.bincount((gv[~x] & np.uint64(31)).astype(np.int64), weights=cv[~x], minlength=32) for (_, _, gv, cv), x in zip(zip(*lists, strict=True), lacks, strict=True)]
+                cols += [pa.ListArray.from_arrays(of, pa.array((np.concatenate(parts) if parts else np.zeros(0)).astype(np.int32)))]
+                cols += [pa.array([int(c[x].sum()) - int(x.sum()) for c, x in zip(lists[3], lacks, strict=True)], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=names[: len(cols)])
 
     left = table.select(F.col("node").alias("u"), F.col("g").alias("gu"), F.col("c").alias("cu"))
     right = table.select(F.col("node").alias("v"), F.col("g").alias("gv"), F.col("c").alias("cv"))
-    schema = "u binary, v binary, sim double" + ", on_u long, all_v long, extra_v long, rest_v array<long>, n_u long, miss_v array<int>" * rest
+    schema = "u binary, v binary, sim double" + ", on_u long, all_v long, extra_v long, rest_v array<long>, n_u long, miss_v array<int>, part_v array<int>, off_extra_v long" * rest
     return pairs.join(left, "u").join(right, "v").select("u", "v", "gu", "cu", "gv", "cv").mapInArrow(run, schema)
 
 
@@ -269,7 +274,7 @@ def _off_core(open_: DataFrame, compared: DataFrame) -> DataFrame:
     nodes in open buckets: `hot` counts its shingles in the core but not in the pivot, `on` is at least the counts of shingles in the core, `rest` array<struct<n,
     h>> has the others that nodes of another component share, rarest first."""
     own = open_.select("pivot", "node", "component").distinct()
-    facts = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "sim", F.col("on_u").alias("on"), F.col("all_v").alias("total"), F.col("extra_v").alias("extra"), F.col("n_u").alias("n_pivot"), F.col("miss_v").alias("miss"))
+    facts = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "sim", F.col("on_u").alias("on"), F.col("all_v").alias("total"), F.col("extra_v").alias("extra"), F.col("n_u").alias("n_pivot"), F.col("miss_v").alias("miss"), F.col("part_v").alias("part"), (F.col("all_v") - F.col("on_u")).alias("off"), F.col("off_extra_v").alias("off_extra"))
     own = materialize(own.join(facts, ["pivot", "node"]))
     lacking = compared.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "rest_v").join(own.select("pivot", "node", "component"), ["pivot", "node"])
     cells = materialize(lacking.select("pivot", "node", "component", F.explode("rest_v").alias("g")).select("pivot", "node", "component", F.xxhash64("pivot", "g").alias("h")))
@@ -279,6 +284,25 @@ def _off_core(open_: DataFrame, compared: DataFrame) -> DataFrame:
     return own.join(met, ["pivot", "node"], "left").withColumn("hot", F.coalesce("hot", F.lit(0))).withColumn("on", on)
 
 
+def _coarse(n):
+    """Whether J_P of a pair's coarse counts reaches the least; `n` is the most shingles
+    off the pivot that the two share.
+
+    Taking shingles together never lowers J_P: with a, b the counts of one in both, its
+    term 1 / sum(max(x/a, y/b)) is concave and of degree one in (a, b), so the term of
+    a sum is at least the sum of terms, and the sums below the line only fall.  So J_P of
+    the counts in the classes of the pivot's shingles and in one class of what is common
+    off the pivot (at most n + off_extra) is a bound, and so is the sum of the lesser
+    shares, which J_P never exceeds and which costs less."""
+    off = {s: F.when(n > 0, F.least(f"off_{s}", n + F.col(f"off_extra_{s}"))).otherwise(0).cast("double") for s in "ab"}
+    x, y = (F.concat(F.col(f"part_{s}").cast("array<double>"), F.array(off[s])) for s in "ab")
+    add = lambda t, z: t + z
+    share = F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a / F.col("total_a"), b / F.col("total_b"))), F.lit(0.0), add)
+    alone_a, alone_b = F.col("off_a") - off["a"], F.col("off_b") - off["b"]
+    term = lambda a, b: 1 / F.aggregate(F.zip_with(x, y, lambda c, d: F.greatest(c / a, d / b)), alone_a / a + alone_b / b, add)
+    return (share >= LEAST - 1e-6) & (F.aggregate(F.zip_with(x, y, lambda a, b: F.when((a > 0) & (b > 0), term(a, b)).otherwise(F.lit(0.0))), F.lit(0.0), add) >= LEAST - 1e-6)
+
+
 def _pairs_on_core(off: DataFrame) -> DataFrame:
     """u, v of different components whose common shingles may all be in the core.
 
@@ -288,7 +312,7 @@ def _pairs_on_core(off: DataFrame) -> DataFrame:
     live = materialize(_live(off.drop("rest")))
     pivots = live.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     live = live.join(pivots.where("lo != hi").select("pivot", F.ceil(F.col("n") / _DEAL).alias("parts")), "pivot")
-    side = lambda n, s: live.select("pivot", "parts", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "sim", "on", "total", "extra", "hot", "n_pivot", "miss")])
+    side = lambda n, s: live.select("pivot", "parts", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "sim", "on", "total", "extra", "hot", "n_pivot", "miss", "part", "off", "off_extra")])
     left = side("u", "a").withColumn("part", F.pmod(F.xxhash64("u"), "parts")).drop("parts")
     right = side("v", "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     p = F.least("on_a", F.col("on_b") + F.col("extra_a")) / F.col("total_a")
@@ -298,7 +322,7 @@ def _pairs_on_core(off: DataFrame) -> DataFrame:
     lost = F.aggregate(F.zip_with("miss_a", "miss_b", lambda x, y: F.greatest(x, y)), F.lit(0), lambda a, x: a + x)
     common = F.col("n_pivot_a") - lost + F.least("hot_a", "hot_b") + F.col("extra_a") + F.col("extra_b")
     enough = common + 1e-6 >= (F.col("total_a") + F.col("total_b")) / (1 + 1 / LEAST)
-    return left.join(right, ["pivot", "part"]).where(F.expr("u < v and component_a != component_b") & near & (1 / p + 1 / q <= _SLACK) & enough).select("u", "v")
+    return left.join(right, ["pivot", "part"]).where(F.expr("u < v and component_a != component_b") & near & (1 / p + 1 / q <= _SLACK) & enough & _coarse(F.least("hot_a", "hot_b"))).select("u", "v")
 
 
 def _pairs_off_core(off: DataFrame) -> DataFrame:
@@ -314,7 +338,7 @@ def _pairs_off_core(off: DataFrame) -> DataFrame:
     need = F.greatest(F.lit(1), F.ceil((F.col("total") + F.col("low")) / (1 + 1 / LEAST) - F.col("extra") - F.col("more") - F.col("on") - 1e-6).cast("int"))
     fits = (F.col("high") + F.col("extra") + 1e-6 >= LEAST * F.col("total")) & (F.col("total") + F.col("more") + 1e-6 >= LEAST * F.col("low"))
     asked = asked.where(fits).withColumn("need", need).where(F.col("need") <= F.size("rest"))
-    facts = ["node", "component", "sim", "on", "total", "extra"]
+    facts = ["node", "component", "sim", "on", "total", "extra", "hot", "part", "off", "off_extra"]
     rows = asked.select(*facts, F.size("rest").alias("m"), F.least("bin", "other").alias("a"), F.greatest("bin", "other").alias("b"), F.posexplode(F.slice("rest", F.lit(1), F.size("rest") - F.col("need") + 1)).alias("i", "x"))
     # Of a pair's common shingles, the first leaves `left` for all of them.
     rows = materialize(rows.select(*facts, (F.col("m") - F.col("i")).alias("left"), F.xxhash64("x.h", "a", "b").alias("h")))
@@ -323,7 +347,7 @@ def _pairs_off_core(off: DataFrame) -> DataFrame:
     side = lambda n, s: rows.select("h", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in (*facts[1:], "left")])
     enough = F.least("on_a", "on_b") + F.least("left_a", "left_b") + F.col("extra_a") + F.col("extra_b") + 1e-6 >= (F.col("total_a") + F.col("total_b")) / (1 + 1 / LEAST)
     near = F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - LEAST + _EPS
-    return side("u", "a").join(side("v", "b"), "h").where(F.expr("u < v and component_a != component_b") & enough & near).select("u", "v")
+    return side("u", "a").join(side("v", "b"), "h").where(F.expr("u < v and component_a != component_b") & enough & near & _coarse(F.least("hot_a", "hot_b") + F.least("left_a", "left_b"))).select("u", "v")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
