@@ -17,7 +17,27 @@ def whole_files(spark: SparkSession, path: str, glob: str = "*.txt", skip: tuple
     rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     if skip:
         rows = rows.where(~F.col("file").isin(*skip))
-    return rows if keep_empty else rows.where(F.length("text") > 0)
+    full = rows.where(F.length("text") > 0)
+    if not keep_empty:
+        return full
+    # Spark's scan may leave out files without bytes: they come from the listing.
+    empty = [(n, "") for n in _empty_files(spark, path, glob) if n not in skip]
+    return full.unionAll(spark.createDataFrame(empty, "file string, text string")) if empty else full
+
+
+def _empty_files(spark: SparkSession, path: str, glob: str) -> list[str]:
+    """Names of the files without bytes in a folder, as Spark's readers would see them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fits = hadoop.GlobFilter(glob)
+    found = []
+    for top in fs.globStatus(at) or []:
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            name = f.getPath().getName()
+            if f.isFile() and f.getLen() == 0 and name[0] not in "._" and fits.accept(f.getPath()):
+                found.append(name)
+    return found
 
 
 def whole_file(spark: SparkSession, path: str) -> DataFrame:
