@@ -303,3 +303,18 @@ def test_few_pairs_under_a_much_repeated_line(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in near_dups.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == classes_of(docs)
     assert len(set(got.values())) > 20 and compared[0] < 300, compared
+
+
+def test_substring_stages_start_with_small_heaps(spark, monkeypatch):
+    """The heaps are collected before each stage of weight: the sketch, the rows of
+    anchors, the contexts, the single windows and the rows of what is known."""
+    done = []
+    monkeypatch.setattr(substring_dedup, "shrink_heaps", lambda s: done.append("shrink"))
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, f=substring_dedup.materialize: done.append(",".join(df.columns)) or f(df))
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text), (2, "x " + text), (3, text + " " + text), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.op6(df).collect())) == removed_words(rows)
+    for stage in ("part,block,n,data", "ctx,anchor,wins,least,most,tail", "anchor,tail,least,wins", "ctx,least,each"):
+        assert done[done.index(stage) - 1] == "shrink"
+    assert done[-1] == "shrink"

@@ -21,6 +21,10 @@ cells a row, 64 MB of bits in all, which bounds what is broadcast; beyond some 1
 million anchors (14 GB of text) it fills up and lets more through, which costs time in
 proportion to the input and loses nothing.
 
+Memory: a worker gives what its task took back to the system, and the executors' heaps
+are collected before each stage of weight, since a heap that one has grown lacks to the
+next (`common.shrink_heaps`).
+
 Defined results: null and empty texts have no words; a document is never compared
 with one of the same id; rows with a null id neither remove nor are removed;
 repeated rows are treated alike; an empty table gives an empty result; other
@@ -36,9 +40,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, discard, hashed_words, materialize, merge_blocks, mix, odd_multipliers, prepare, slices, text_bytes
+from .common import WordHash, discard, free_memory, hashed_words, materialize, merge_blocks, mix, odd_multipliers, prepare, shrink_heaps, slices, text_bytes
 
 WINDOW, GRAM = 50, 10
+#: Bytes of text whose words a task holds at a time.
+SLICE = 2_000_000
 SPAN = WINDOW - GRAM + 1  # runs of ten words in a window
 #: Bits of a cell's number on the finest and coarsest grid; blocks that a row is merged in.
 GRID, LEAST_GRID, BLOCKS = 28, 16, 64
@@ -131,17 +137,20 @@ def sketch(docs: DataFrame) -> Sketch:
     """The merged count-min sketch of all documents' anchors."""
     import pyarrow as pa
 
+    def counted(raw, memory):
+        for a, b in slices(raw, SLICE):
+            h, ends = hashed_words(raw[a:b], memory)
+            g, text, _, _ = anchors(h, ends)
+            once = np.unique(g ^ mix(text.astype(np.uint64) + np.uint64(9)), return_index=True)[1]
+            yield g[once]
+
     def run(batches):
         from pyspark import TaskContext
 
         memory, held = WordHash(), []
         for rb in batches:
-            raw = rb.column(0).to_pylist()
-            for a, b in slices(raw, 4_000_000):
-                h, ends = hashed_words(raw[a:b], memory)
-                g, text, _, _ = anchors(h, ends)
-                once = np.unique(g ^ mix(text.astype(np.uint64) + np.uint64(9)), return_index=True)[1]
-                held.append(g[once])
+            held += counted(rb.column(0).to_pylist(), memory)
+        memory.clear()
         part, block, data = TaskContext.get().partitionId(), [], []
         found = np.concatenate([*held, np.zeros(0, np.uint64)])
         for row, cells in enumerate(_cells(found)):
@@ -154,6 +163,7 @@ def sketch(docs: DataFrame) -> Sketch:
         count = np.zeros(len(block), np.int64)
         count[0] = len(found)
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(count), pa.array(data, pa.binary())], names=["part", "block", "n", "data"])
+        free_memory()
 
     parts = materialize(docs.select(text_bytes(docs).alias("_text")).where(docs["doc_id"].isNotNull()).mapInArrow(run, "part int, block int, n long, data binary"))
     count = parts.agg(F.sum("n")).first()[0] or 0
@@ -184,20 +194,25 @@ def _occurrences(docs: DataFrame, counts: Sketch) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # at most 64 MB
 
+    def found(rb, many, memory):
+        raw = rb.column(2).to_pylist()
+        for a, b in slices(raw, SLICE):
+            h, ends = hashed_words(raw[a:b], memory)
+            g, text, start, n = anchors(h, ends)
+            on = many.repeated(g)
+            g, text, start, n = g[on], text[on], start[on], n[on]
+            wins = window_hashes(h, start, n) if len(g) else np.zeros(0, np.int64)
+            of = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            ctx = [hashlib.blake2b(wins[i:j].tobytes() + int(x).to_bytes(8, "little"), digest_size=16).digest() for i, j, x in zip(of[:-1], of[1:], g, strict=True)]
+            at = pa.array(text + a, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ctx, pa.binary()), rb.column(0).take(at), rb.column(1).take(at), pa.array((start - ends[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(of), pa.array(wins))], names=["anchor", "ctx", "doc_id", "rk", "first", "n", "wins"])
+
     def run(batches):
         many, memory = shared.value, WordHash()
         for rb in batches:
-            raw = rb.column(2).to_pylist()
-            for a, b in slices(raw, 4_000_000):
-                h, ends = hashed_words(raw[a:b], memory)
-                g, text, start, n = anchors(h, ends)
-                on = many.repeated(g)
-                g, text, start, n = g[on], text[on], start[on], n[on]
-                wins = window_hashes(h, start, n) if len(g) else np.zeros(0, np.int64)
-                of = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                ctx = [hashlib.blake2b(wins[i:j].tobytes() + int(x).to_bytes(8, "little"), digest_size=16).digest() for i, j, x in zip(of[:-1], of[1:], g, strict=True)]
-                at = pa.array(text + a, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ctx, pa.binary()), rb.column(0).take(at), rb.column(1).take(at), pa.array((start - ends[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(of), pa.array(wins))], names=["anchor", "ctx", "doc_id", "rk", "first", "n", "wins"])
+            yield from found(rb, many, memory)
+        memory.clear()
+        free_memory()
 
     text = text_bytes(docs)
     rows = docs.where(docs["doc_id"].isNotNull()).select("doc_id", F.xxhash64(text).alias("rk"), text.alias("_text"))
@@ -207,8 +222,11 @@ def _occurrences(docs: DataFrame, counts: Sketch) -> DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, rk (hash of the text), runs array<struct<first, n>>: the windows of
     each document that also start in one with a smaller id."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
+    shrink_heaps(spark)
     occ = materialize(_occurrences(docs, sketch(docs)))
+    shrink_heaps(spark)
     ctx = materialize(occ.groupBy("ctx").agg(F.first("anchor").alias("anchor"), F.first("wins").alias("wins"), F.min("doc_id").cast("long").alias("least"), F.max("doc_id").cast("long").alias("most")).withColumn("tail", F.expr("substring(ctx, 1, 8)")))
     places = materialize(occ.select("ctx", "doc_id", "rk", "first", "n"))
     discard(occ)
@@ -216,6 +234,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # A common anchor with many contexts is met by each of its salts.
     several = several.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = ctx.withColumn("salt", F.expr(f"pmod(hash(ctx), {SALTS})"))
+    shrink_heaps(spark)
     # An anchor and half of a context's hash name it in the rows of single windows.
     shared = materialize(salted.join(several, ["anchor", "salt"], "left_semi").select("anchor", "tail", "least", "wins"))
     each = shared.select("anchor", "tail", "least", F.posexplode("wins").alias("i", "win"))
@@ -223,8 +242,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # The windows that an earlier document has in another context.
     early = each.join(first, ["anchor", "win"]).where("first < least").groupBy("anchor", "tail").agg(F.array_sort(F.collect_list(F.struct("i", F.col("first").alias("least")))).alias("each"))
     known = ctx.select("ctx", "anchor", "tail", "least", "most").join(early, ["anchor", "tail"], "left").where("most > least or each is not null")
+    shrink_heaps(spark)
     known = materialize(known.select("ctx", "least", "each"))
     discard(shared, ctx)
+    shrink_heaps(spark)
     hit = places.join(known, "ctx")
     whole = F.array(F.struct(F.col("first").alias("first"), F.col("n").alias("n")))
     ones = F.transform(F.filter("each", lambda x: x["least"] < F.col("doc_id")), lambda x: F.struct((F.col("first") + x["i"]).alias("first"), F.lit(1).alias("n")))
@@ -261,6 +282,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     removed.append(0)
                 kept.append(b" ".join(w))
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+        free_memory()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
