@@ -318,3 +318,28 @@ def test_substring_stages_start_with_small_heaps(spark, monkeypatch):
     for stage in ("part,block,n,data", "ctx,anchor,wins,least,most,tail", "anchor,tail,least,wins", "ctx,least,each"):
         assert done[done.index(stage) - 1] == "shrink"
     assert done[-1] == "shrink"
+
+
+def test_rows_off_core_once(spark, monkeypatch):
+    """Nodes of many sizes with common shingles off their pivot: a node enters the join with
+    each of them once at most, whatever the sizes it may meet, and no pair is lost."""
+    rng = random.Random(11)
+    has = {i: set(rng.sample(range(30), rng.randint(1, 25))) for i in range(60)}
+    total = {i: 80 + len(x) + rng.randint(0, 8) for i, x in has.items()}
+    often = {h: sum(h in x for x in has.values()) for h in range(30)}
+    part = [80] + [0] * 31
+    off = [(b"p", bytes([i]), bytes([i % 50]), 0.8, 80, total[i], 0, 0, part, total[i] - 80, 0, sorted((often[h], h) for h in x)) for i, x in has.items()]
+    off = spark.createDataFrame(off, "pivot binary, node binary, component binary, sim double, on long, total long, extra long, hot long, part array<int>, off long, off_extra long, rest array<struct<n: long, h: long>>")
+    rows, stored = [], near_dups.materialize
+
+    def kept(df, path=None):
+        out = stored(df, path)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "materialize", kept)
+    got = {(r.u[0], r.v[0]) for r in near_dups._pairs_off_core(off).collect()}
+    common = {(i, j): 80 + len(has[i] & has[j]) for i in has for j in has if i < j and i % 50 != j % 50 and has[i] & has[j]}
+    links = {(i, j) for (i, j), c in common.items() if c >= 0.8 * (total[i] + total[j] - c)}
+    assert len(links) > 20 and links <= got <= set(common)
+    assert 0 < rows[0] <= sum(map(len, has.values())), rows

@@ -325,6 +325,33 @@ def _pairs_on_core(off: DataFrame) -> DataFrame:
     return left.join(right, ["pivot", "part"]).where(F.expr("u < v and component_a != component_b") & near & (1 / p + 1 / q <= _SLACK) & enough & _coarse(F.least("hot_a", "hot_b"))).select("u", "v")
 
 
+def _rows_off_core(off: DataFrame) -> DataFrame:
+    """h, node and its facts, left: the shingles off the core by which a node meets others,
+    each once.
+
+    Of the needs that the bins of its pivot's sizes ask for, the least holds for all of
+    its partners: their first common shingle lies in the prefix that it leaves."""
+    off = off.withColumn("bin", _size_bin())
+    bins = off.groupBy("pivot", "bin").agg(F.min("total").alias("low"), F.max("total").alias("high"), F.max("extra").alias("more"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    bins = bins.groupBy("pivot").agg(F.collect_list(F.struct("low", "high", "more", "lo", "hi")).alias("bins"))
+
+    def fits(x):
+        other = (x["lo"] != F.col("component")) | (x["hi"] != F.col("component"))
+        return other & (x["high"] + F.col("extra") + 1e-6 >= LEAST * F.col("total")) & (F.col("total") + x["more"] + 1e-6 >= LEAST * x["low"])
+
+    def need(x):
+        return F.greatest(F.lit(1), F.ceil((F.col("total") + x["low"]) / (1 + 1 / LEAST) - F.col("extra") - x["more"] - F.col("on") - 1e-6).cast("int"))
+
+    asked = off.where("size(rest) > 0").join(bins, "pivot").withColumn("need", F.array_min(F.transform(F.filter("bins", fits), need)))
+    asked = asked.where(F.col("need") <= F.size("rest"))
+    rows = asked.select("node", *_FACTS, F.size("rest").alias("m"), F.posexplode(F.slice("rest", F.lit(1), F.size("rest") - F.col("need") + 1)).alias("i", "x"))
+    # Of a pair's common shingles, the first leaves `left` for all of them.
+    return rows.select(F.col("x.h").alias("h"), "node", *_FACTS, (F.col("m") - F.col("i")).alias("left"))
+
+
+_FACTS = ["component", "sim", "on", "total", "extra", "hot", "part", "off", "off_extra"]
+
+
 def _pairs_off_core(off: DataFrame) -> DataFrame:
     """u, v of different components with a common shingle off the core of a pivot
     of both, unless they have too few of them.
@@ -332,19 +359,8 @@ def _pairs_off_core(off: DataFrame) -> DataFrame:
     A pair at L has common counts x >= (total(u) + total(v)) / (1 + 1/L) - extra(v) in
     u (from 1/p + 1/q <= 1 + 1/L and y <= x + extra(v)), so at least x - extra(u)
     common shingles, of which the core has at most on(u)."""
-    off = off.withColumn("bin", _size_bin())
-    bins = off.groupBy("pivot", F.col("bin").alias("other")).agg(F.min("total").alias("low"), F.max("total").alias("high"), F.max("extra").alias("more"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    asked = off.where("size(rest) > 0").join(bins, "pivot").where("lo != component or hi != component")
-    need = F.greatest(F.lit(1), F.ceil((F.col("total") + F.col("low")) / (1 + 1 / LEAST) - F.col("extra") - F.col("more") - F.col("on") - 1e-6).cast("int"))
-    fits = (F.col("high") + F.col("extra") + 1e-6 >= LEAST * F.col("total")) & (F.col("total") + F.col("more") + 1e-6 >= LEAST * F.col("low"))
-    asked = asked.where(fits).withColumn("need", need).where(F.col("need") <= F.size("rest"))
-    facts = ["node", "component", "sim", "on", "total", "extra", "hot", "part", "off", "off_extra"]
-    rows = asked.select(*facts, F.size("rest").alias("m"), F.least("bin", "other").alias("a"), F.greatest("bin", "other").alias("b"), F.posexplode(F.slice("rest", F.lit(1), F.size("rest") - F.col("need") + 1)).alias("i", "x"))
-    # Of a pair's common shingles, the first leaves `left` for all of them.
-    rows = materialize(rows.select(*facts, (F.col("m") - F.col("i")).alias("left"), F.xxhash64("x.h", "a", "b").alias("h")))
-    met = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
-    rows = rows.join(met, "h", "left_semi")
-    side = lambda n, s: rows.select("h", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in (*facts[1:], "left")])
+    rows = materialize(_rows_off_core(off))
+    side = lambda n, s: rows.select("h", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in (*_FACTS, "left")])
     enough = F.least("on_a", "on_b") + F.least("left_a", "left_b") + F.col("extra_a") + F.col("extra_b") + 1e-6 >= (F.col("total_a") + F.col("total_b")) / (1 + 1 / LEAST)
     near = F.abs(F.col("sim_a") - F.col("sim_b")) <= 1 - LEAST + _EPS
     return side("u", "a").join(side("v", "b"), "h").where(F.expr("u < v and component_a != component_b") & enough & near & _coarse(F.least("hot_a", "hot_b") + F.least("left_a", "left_b"))).select("u", "v")
